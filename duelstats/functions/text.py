@@ -51,7 +51,7 @@ def infer_played_at(c: Column, iso_date: Column) -> Column:
 def sample_date(played_at: Column) -> Column:
     """Date of the first ten characters, null unless they are a real ISO date."""
     head = F.substring(played_at, 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(head, F.lit("yyyy-M-d")))
+    return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(head, "yyyy-M-d"))
 
 
 def year_for_label(label: Column, date_from: str, date_to: str) -> Column:

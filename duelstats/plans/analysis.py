@@ -56,6 +56,7 @@ def labelled(rows: DataFrame, card_dim: DataFrame, card: str = "card_hash") -> D
     column = lambda name: F.col(name) if name in card_dim.columns else F.lit(None).cast("string")
     label = decks.card_label(column("name"), column("card_code"), F.col("card_hash"), column("cost_label"), column("unit_type"))
     dim = card_dim.select(F.col("card_hash").alias("_card"), "cost", label.alias("_label"))
+    rows = rows.drop("cost")
     joined = rows.join(dim, F.col(card) == F.col("_card"), "left")
     return joined.select(
         *rows.columns, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("_label", decks.unknown_label(F.col(card))).alias("label")

@@ -55,7 +55,7 @@ card_all AS (
   FROM (SELECT *, unnest(list_distinct(string_split(deck_fingerprint, ','))) AS card_hash FROM scoped) GROUP BY 1, 2, 3),
 winner AS (
   SELECT sample_scope, version_scope, unnest(list_distinct(string_split(deck_fingerprint, ','))) AS card_hash
-  FROM deck_stat WHERE CAST(win_count AS DOUBLE) / (win_count + loss_count) >= 0.55),
+  FROM deck_stat WHERE win_count + loss_count > 0 AND CAST(win_count AS DOUBLE) / (win_count + loss_count) >= 0.55::DOUBLE),
 won AS (SELECT sample_scope, version_scope, card_hash, count(*) AS high_win_deck_count FROM winner GROUP BY 1, 2, 3),
 card_scored AS (
   SELECT c.*, {win_rate_sql()} AS win_rate, {wilson_sql()} AS wilson_lower_bound,
@@ -329,19 +329,20 @@ def srt9(spark, d):
 
 
 CLUSTER_SQL = """,
-ranked_deck AS (
+ranked_deck AS MATERIALIZED (
   SELECT b.*, row_number() OVER (ORDER BY coalesce({wilson}, 0) DESC, sample_count DESC, {ties}) AS r FROM {base} b),
 deck_card AS (
   SELECT r, cost.card, cost FROM (SELECT r, unnest(list_distinct(string_split(deck_fingerprint, ','))) AS card FROM ranked_deck) x JOIN cost USING (card)),
-edge AS (SELECT a.r AS rb, b.r AS ra FROM deck_card a JOIN deck_card b ON a.card = b.card AND b.r < a.r GROUP BY 1, 2 HAVING sum(a.cost) >= 5.0),
-near AS (SELECT rb, list(ra ORDER BY ra) AS near_ranks FROM edge GROUP BY 1),
+edge AS MATERIALIZED (SELECT a.r AS rb, b.r AS ra FROM deck_card a JOIN deck_card b ON a.card = b.card AND b.r < a.r GROUP BY 1, 2 HAVING sum(a.cost) >= 5.0),
+near AS MATERIALIZED (SELECT rb, list(ra ORDER BY ra) AS near_ranks FROM edge GROUP BY 1),
+deck_number AS MATERIALIZED (SELECT max(r) AS n FROM ranked_deck),
 walk AS (
   SELECT 0::BIGINT AS r, []::BIGINT[] AS reps, NULL::BIGINT AS leader
   UNION ALL
   SELECT w.r + 1, CASE WHEN hit IS NULL THEN list_append(reps, w.r + 1) ELSE reps END, coalesce(hit, w.r + 1)
   FROM walk w LEFT JOIN near n ON n.rb = w.r + 1, LATERAL (SELECT list_min(list_intersect(n.near_ranks, w.reps)) AS hit)
-  WHERE w.r < (SELECT max(r) FROM ranked_deck)),
-member AS (SELECT d.*, leader FROM walk JOIN ranked_deck d USING (r))"""
+  WHERE w.r < (SELECT n FROM deck_number)),
+member AS MATERIALIZED (SELECT d.*, leader FROM walk JOIN ranked_deck d USING (r))"""
 REPORT_CLUSTER_SQL = (
     DECK_SQL.replace("WITH line", "WITH RECURSIVE line")
     + ",\nbase AS (SELECT * FROM deck_stat WHERE sample_scope = 'all_players' AND version_scope = 'all_versions')"
