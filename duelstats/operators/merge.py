@@ -1,13 +1,201 @@
-from pyspark.sql import Column, functions as F
+"""Entity resolution of sightings and the field rules that merge them into one match.
+
+Every rule is an aggregate over arrival order (``seq``, any orderable value), so an often-sighted match combines on
+the map side instead of being listed anywhere.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+from duelstats.functions import decks, links, loadout, ranks
+from duelstats.functions.text import coerce_number
+from duelstats.operators.components import components
+
+DETAIL_PAGE = "/members/history/detail"
+
+
+def filled(c: Column | str) -> Column:
+    return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) != ""
+
+
+def with_aliases(sightings: DataFrame) -> DataFrame:
+    """Names a sighting goes by: its replay, and the player and second of its detail page."""
+    url = F.col("detail_url")
+    follow = F.when(filled("follow_id"), F.col("follow_id")).otherwise(links.follow_id(url))
+    second = F.when(filled("detail_t"), F.col("detail_t")).otherwise(links.detail_t(url))
+    named = sightings.withColumns({"follow_id": follow, "detail_t": second})
+    by_detail = filled("follow_id") & filled("detail_t")
+    return named.withColumns(
+        {
+            "replay_alias": F.when(filled("replay_id"), F.concat(F.lit("r:"), "replay_id")),
+            "detail_alias": F.when(by_detail, F.concat(F.lit("d:"), "follow_id", F.lit(":"), "detail_t")),
+        }
+    )
+
+
+def resolve(sightings: DataFrame) -> DataFrame:
+    """Add ``entity``: sightings that share an alias, directly or through others, are one match.
+
+    A sighting without any alias stays alone under the hash of its content.
+    """
+    named = with_aliases(sightings)
+    both = named.where(F.col("replay_alias").isNotNull() & F.col("detail_alias").isNotNull())
+    labels = components(both.select(F.col("replay_alias").alias("a"), F.col("detail_alias").alias("b")))
+    key = F.coalesce("replay_alias", "detail_alias")
+    content = F.to_json(F.struct(*[c for c in sightings.columns if c != "seq"]))
+    keyed = named.withColumn("_alias", key)
+    joined = keyed.join(labels, keyed["_alias"] == labels["node"], "left").drop("node", "_alias")
+    alone = F.concat(F.lit("x:"), F.sha2(content, 256))
+    return joined.withColumn("entity", F.coalesce("component", "replay_alias", "detail_alias", alone)).drop("component")
+
+
+def aliases(resolved: DataFrame) -> DataFrame:
+    kinds = F.array(
+        F.struct(F.col("replay_alias").alias("alias"), F.lit("replay").alias("alias_type")),
+        F.struct(F.col("detail_alias").alias("alias"), F.lit("detail").alias("alias_type")),
+    )
+    rows = resolved.select("entity", F.explode(kinds).alias("a")).select("entity", "a.*")
+    return rows.where(F.col("alias").isNotNull()).distinct()
+
+
+def last_where(value: Column, test: Column) -> Column:
+    return F.max_by(value, F.when(test, F.col("seq")))
+
+
+def first_where(value: Column, test: Column) -> Column:
+    return F.min_by(value, F.when(test, F.col("seq")))
+
+
+def last_filled(value: Column) -> Column:
+    return last_where(value, filled(value))
+
+
+def merged(resolved: DataFrame, stream_template: str = "{id}", detail_page: str = DETAIL_PAGE) -> DataFrame:
+    """One row per entity.
+
+    Full sources: the last non-empty value of each field wins, the last record brings sides, decks and summary. Light
+    sources (replay search) fill gaps only; their summary counts if it carries castle rows or a timeline. A replay
+    id once known stays. Without full sources the address of a detail page is preferred over other addresses.
+    """
+    col, light = F.col, F.col("light")
+    full = ~light
+    told = F.coalesce(F.nullif(links.played_at_of(col("detail_t")), F.lit("")), col("played_at"))
+    stream = F.when(filled("m3u8_url"), col("m3u8_url")).otherwise(links.stream_url(col("replay_id"), stream_template))
+    source = F.when(filled("source_url"), col("source_url")).otherwise(col("detail_url"))
+    known = filled("result") & (col("result") != "unknown")
+    detailed = (F.size("castle_rows") > 0) | ~F.coalesce(col("timeline_data"), F.lit("{}")).isin("", "{}", "null")
+    people = F.struct("players", "result", "light")
+    summary = F.struct("title", "detail_error", "castle_title", "castle_rows", "timeline_labels", "timeline_data")
+
+    def gap(value: Column) -> Column:
+        return F.coalesce(last_where(value, full & filled(value)), first_where(value, light & filled(value)))
+
+    is_page = F.coalesce(col("detail_url"), F.lit("")).contains(detail_page)
+    has_url = filled("detail_url")
+    address = F.coalesce(
+        last_where(col("detail_url"), full & has_url),
+        first_where(col("detail_url"), light & is_page),
+        last_where(col("detail_url"), light & has_url),
+    )
+    has_people = F.size("players") > 0
+    out = resolved.groupBy("entity").agg(
+        last_filled(col("replay_id")).alias("replay_id"),
+        last_filled(col("detail_t")).alias("detail_t"),
+        last_filled(col("follow_id")).alias("primary_follow_id"),
+        gap(told).alias("played_at"),
+        last_filled(col("mode")).alias("mode"),
+        last_filled(col("version")).alias("version"),
+        F.coalesce(last_where(col("result"), known), F.lit("unknown")).alias("result"),
+        address.alias("detail_url"),
+        last_filled(col("play_url")).alias("play_url"),
+        last_filled(stream).alias("m3u8_url"),
+        gap(source).alias("source_url"),
+        F.coalesce(last_where(people, full & has_people), first_where(people, light & has_people)).alias("_people"),
+        F.coalesce(last_where(summary, full | detailed), first_where(summary, light)).alias("_summary"),
+        F.count(F.lit(1)).alias("sightings"),
+    )
+    public = links.public_id(col("replay_id"), col("primary_follow_id"), col("detail_t"))
+    nameless = ~filled("replay_id") & ~(filled("primary_follow_id") & filled("detail_t"))
+    return out.select(
+        "entity",
+        F.when(nameless, F.concat(F.lit("d:unknown:"), F.substring(F.sha2(col("entity"), 256), 1, 16))).otherwise(public).alias("public_id"),
+        F.when(filled("replay_id"), "replay").otherwise("detail_only").alias("id_state"),
+        *[c for c in out.columns if c not in ("entity", "_people", "_summary")],
+        col("_people.players").alias("players"),
+        "_summary.*",
+    )
+
+
+def typed_sides(matches: DataFrame) -> DataFrame:
+    """Merged matches as bouts: the pockets of every side become typed columns, its card list becomes its deck."""
+    sides = matches.select("entity", "result", F.posexplode("players").alias("pos", "p"))
+    profile, selected = F.try_parse_json("p.profile"), F.try_parse_json("p.selected")
+    stat = lambda key: F.coalesce(
+        coerce_number(F.col("_profile"), f"$.battle_stats.{key}.total"), coerce_number(F.col("_profile"), f"$.battle_stats.{key}")
+    )
+    opened = sides.withColumns({"_profile": profile, "_selected": selected, "_souls": loadout.soul_names(F.col("p.selected"))})
+    side = F.struct(
+        F.coalesce("p.side_index", F.col("pos") + 1).cast("int").alias("side_index"),
+        F.coalesce("p.role", F.lit("unknown")).alias("role"),
+        F.coalesce("p.player_name", F.lit("")).alias("player_name"),
+        F.coalesce("p.follow_id", F.lit("")).alias("follow_id"),
+        F.coalesce(F.nullif("p.result", F.lit("")), F.when(F.col("p.role") == "player", F.col("result")), F.lit("unknown")).alias("result"),
+        F.coalesce("p.castle_rate", F.lit("")).alias("castle_rate"),
+        ranks.ranking(F.col("_profile")).alias("rank"),
+        ranks.rank_order(F.col("_profile")).alias("rank_order"),
+        stat("kill_count").alias("kill_count"),
+        stat("death_count").alias("death_count"),
+        loadout.selected_name(F.col("_selected"), "weapon").alias("weapon"),
+        loadout.selected_name(F.col("_selected"), "school").alias("style"),
+        F.col("_souls").alias("souls"),
+        decks.named_cards(F.col("p.deck_ids")).alias("cards"),
+        decks.fingerprint(F.col("p.deck_ids")).alias("deck_fingerprint"),
+    )
+    grouped = opened.groupBy("entity").agg(F.sort_array(F.collect_list(side)).alias("sides"))
+    header = matches.drop("players")
+    return header.join(grouped, "entity", "left").withColumn("match_id", F.col("public_id"))
+
+
+def last_per_key(rows: DataFrame, *keys: str) -> DataFrame:
+    """Keep the latest row per key (by ``seq``)."""
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "seq").alias("r")).select(*keys, "r.*")
+
+
+def first_per_key(rows: DataFrame, *keys: str) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "seq").alias("r")).select(*keys, "r.*")
+
+
+def players(rows: DataFrame) -> DataFrame:
+    """Player dimension: last non-empty name, state and address per follow id."""
+    return rows.groupBy("follow_id").agg(
+        F.coalesce(last_filled(F.col("name")), F.concat(F.lit("f-"), F.first("follow_id"))).alias("name"),
+        F.coalesce(last_filled(F.col("state")), F.lit("")).alias("state"),
+        F.coalesce(last_filled(F.col("daily_url")), F.lit("")).alias("daily_url"),
+        F.max("seq").alias("last_seen"),
+    )
+
+
+def new_uploads(uploads: DataFrame, known: DataFrame) -> DataFrame:
+    """Uploads whose content the same user has not sent before; first of its kind within the batch."""
+    return first_per_key(uploads, "user_id", "content_hash").join(known.select("user_id", "content_hash"), ["user_id", "content_hash"], "left_anti")
 
 
 def complete_detail() -> Column:
     """Whether a bout is told in full: version, result, sides that all have decks, some rate and some profile."""
     sides = F.col("sides")
     return (
-        (F.coalesce("version", F.lit("")) != "")
+        filled("version")
         & ~F.coalesce("result", F.lit("unknown")).isin("", "unknown")
         & (F.size(sides) > 0)
         & F.forall(sides, lambda s: F.coalesce(s["deck_fingerprint"], F.lit("")) != "")
         & F.exists(sides, lambda s: F.coalesce(s["castle_rate"], F.lit("")) != "")
     )
+
+
+def lightweight(record_result: Column, castle_rows: Column, timeline: Column) -> Column:
+    """A record that tells neither result nor castle nor timeline comes from a light source."""
+    no_timeline = F.coalesce(timeline, F.lit("{}")).isin("", "{}", "null")
+    return (F.coalesce(F.nullif(record_result, F.lit("")), F.lit("unknown")) == "unknown") & (F.coalesce(F.size(castle_rows), F.lit(0)) <= 0) & no_timeline

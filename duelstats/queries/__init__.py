@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analysis", "boards")
+MODULES = ("analysis", "boards", "store")
 
 
 def _load() -> None:

@@ -158,3 +158,77 @@ def card_dim(spark: SparkSession, card: str = "p_type") -> DataFrame:
         costs = sorted(CARD_COSTS.values())
         rows = [(f"Brand#{i}", costs[i % len(costs)]) for i in range(1, 26)]
     return spark.createDataFrame(rows, "card_hash string, cost double")
+
+
+def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders read as sightings: some full, some light, with replay and detail names that overlap now and then."""
+    site = "https://site.example/members"
+    price, k = F.col("o_totalprice"), F.col("o_orderkey")
+    base = table(spark, sf_dir, "orders").select(
+        k.alias("seq"),
+        (k % 5 == 0).alias("light"),
+        F.when(k % 3 != 0, F.concat(F.lit("R"), match_of(k))).otherwise("").alias("replay_id"),
+        F.concat(F.lit("F"), F.col("o_custkey") % 40).alias("follow_id"),
+        F.when(k % 4 != 1, F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).cast("string")).otherwise("").alias("detail_t"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm").alias("played_at"),
+        F.when(k % 7 == 0, "").otherwise(F.col("o_orderpriority")).alias("mode"),
+        F.when(k % 6 == 0, "").otherwise(F.concat(F.lit("V"), F.year("o_orderdate"))).alias("version"),
+        F.when(price < 20000, "unknown").otherwise(result_of(F.col("o_orderstatus"))).alias("result"),
+        F.concat(F.lit("P"), "o_custkey").alias("player_name"),
+    )
+    page = F.concat(F.lit(f"{site}/history/detail?f="), "follow_id", F.lit("&t="), "detail_t")
+    play = F.concat(F.lit(f"{site}/enbujyo/play?p="), "replay_id")
+    empty = F.lit("").alias
+    person = F.struct(
+        F.lit(1).alias("side_index"), F.lit("player").alias("role"), "player_name", "follow_id", "result", empty("castle_rate"),
+        F.lit("{}").alias("profile"), F.lit("{}").alias("selected"), F.array().cast("array<string>").alias("deck_ids"),
+    )
+    row = F.struct(F.lit("1%").alias("player"), F.lit("x").alias("label"), F.lit("2%").alias("enemy"))
+    return base.select(
+        *[c for c in base.columns if c != "player_name"],
+        F.when(F.col("detail_t") != "", page).otherwise("").alias("detail_url"),
+        F.when(F.col("replay_id") != "", play).otherwise("").alias("play_url"),
+        empty("m3u8_url"), empty("source_url"), F.concat(F.lit("t"), "seq").alias("title"), empty("detail_error"), empty("castle_title"),
+        F.when(F.col("seq") % 3 == 1, F.array(row)).otherwise(F.array().cast(row_type())).alias("castle_rows"),
+        F.array().cast("array<string>").alias("timeline_labels"), F.lit("{}").alias("timeline_data"),
+        F.when(F.col("seq") % 11 != 0, F.array(person)).otherwise(F.slice(F.array(person), 1, 0)).alias("players"),
+    )
+
+
+def row_type() -> str:
+    return "array<struct<player:string,label:string,enemy:string>>"
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contests as merged matches with JSON pockets, as the store holds and packages carry them."""
+    def profile(s: Column) -> Column:
+        ranking = F.when(s["rank"].isNotNull(), s["rank"].cast("string"))
+        certificate = s["rank_order"].cast("string")
+        stats = F.struct(
+            F.struct(s["death_count"].alias("total")).alias("death_count"), F.struct(s["kill_count"].alias("total")).alias("kill_count")
+        )
+        return F.to_json(F.struct(stats.alias("battle_stats"), ranking.alias("全国主君ランキング"), certificate.alias("order")))
+
+    def selected(s: Column) -> Column:
+        souls = F.transform(s["souls"], lambda n: F.struct(n.alias("name")))
+        return F.to_json(
+            F.struct(F.struct(s["style"].alias("name")).alias("school"), souls.alias("souls"), F.struct(s["weapon"].alias("name")).alias("weapon"))
+        )
+
+    def person(s: Column) -> Column:
+        return F.struct(
+            s["side_index"].alias("side_index"), s["role"].alias("role"), s["player_name"].alias("player_name"), s["follow_id"].alias("follow_id"),
+            s["result"].alias("result"), s["castle_rate"].alias("castle_rate"), profile(s).alias("profile"), selected(s).alias("selected"),
+            F.coalesce(s["cards"], F.array().cast("array<string>")).alias("deck_ids"),
+        )
+
+    replay = F.concat(F.lit("R"), "match_id")
+    empty = F.lit("").alias
+    return bouts(spark, sf_dir).select(
+        F.concat(F.lit("r:"), replay).alias("public_id"), replay.alias("replay_id"), empty("detail_t"), empty("primary_follow_id"), "played_at", "mode", "version", "result",
+        empty("detail_url"), F.concat(F.lit("https://site.example/members/enbujyo/play?p="), replay).alias("play_url"), empty("m3u8_url"), empty("source_url"),
+        F.concat(F.lit("t"), "match_id").alias("title"), empty("detail_error"), empty("castle_title"),
+        F.coalesce("castle_rows", F.array().cast(row_type())).alias("castle_rows"), F.array().cast("array<string>").alias("timeline_labels"),
+        F.lit('{"castle":{"enemy":[],"player":[]}}').alias("timeline_data"), F.transform("sides", person).alias("players"),
+        F.get("sides", F.lit(0))["follow_id"].alias("contributor"),
+    )
