@@ -157,24 +157,23 @@ def scope_counts(samples: DataFrame, cfg: JobConfig) -> DataFrame:
     return scoped.groupBy("sample_scope").agg(F.sum("n").alias("sample_count"))
 
 
-def with_comparisons(stats: DataFrame, key: str, current: DataFrame, cfg: JobConfig) -> DataFrame:
+def with_comparisons(stats: DataFrame, key: str, current: str, cfg: JobConfig) -> DataFrame:
     """Base statistics beside the same entity in three other scopes; null where it stays below the floor there.
 
-    One conditional aggregation stands in for three joins. ``current`` is the one-row current version.
+    One conditional aggregation stands in for three joins. ``current`` names the current version, '' for none.
     """
     scope, version = F.col("sample_scope"), F.col("version_scope")
-    tagged = stats.crossJoin(F.broadcast(current))
     wanted = {
         ALL_RANKER: (scope == ALL_RANKER) & (version == ALL_VERSIONS),
         high_rank_scope(cfg.high_rank): (scope == high_rank_scope(cfg.high_rank)) & (version == ALL_VERSIONS),
-        "current_version": (scope == ALL_PLAYERS) & (version == F.col("current_version")) & (F.col("current_version") != ""),
+        "current_version": (scope == ALL_PLAYERS) & (version == current) & F.lit(current != ""),
     }
     base = (scope == ALL_PLAYERS) & (version == ALL_VERSIONS)
     own = [c for c in stats.columns if c not in (*SCOPE, key)]
     picks = [F.max(F.when(base, F.col(c))).alias(c) for c in own]
     picks += [F.max(F.when(test, F.col(c))).alias(f"{prefix}_{c}") for prefix, test in wanted.items() for c in COMPARED]
-    picks += [F.max("current_version").alias("current_version")]
-    return tagged.groupBy(key).agg(*picks).where(F.col("sample_count").isNotNull())
+    found = stats.groupBy(key).agg(*picks).where(F.col("sample_count").isNotNull())
+    return found.withColumn("current_version", F.lit(current))
 
 
 def version_pivot(stats: DataFrame, key: str, versions: list[str]) -> DataFrame:

@@ -24,9 +24,11 @@ def windows(starts: DataFrame, open_end: str) -> DataFrame:
 
 
 def version_at(rows: DataFrame, day: Column, version_windows: DataFrame) -> DataFrame:
-    """Range lookup of the version in force on a day; the windows are a small known table."""
-    on = day.between(F.col("date_from"), F.col("date_to"))
-    return rows.join(F.broadcast(version_windows.withColumnRenamed("version", "known_version")), on, "left").drop("date_from", "date_to")
+    """Add the version in force on a day (ISO text). The windows become one row per day, so the lookup is an equi join."""
+    days = F.explode(F.sequence(F.to_date("date_from"), F.to_date("date_to")))
+    by_day = version_windows.where(F.col("date_from") <= F.col("date_to")).select(F.col("version").alias("known_version"), days.alias("d"))
+    by_day = by_day.select("known_version", F.date_format("d", "yyyy-MM-dd").alias("known_day"))
+    return rows.join(by_day, day == F.col("known_day"), "left").drop("known_day")
 
 
 def uploaded_spans(uploads: DataFrame) -> DataFrame:

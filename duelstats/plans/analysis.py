@@ -96,13 +96,14 @@ def archetype_scopes(members: DataFrame, deck_stats: DataFrame) -> DataFrame:
 def reports(run: AnalysisRun, card_dim: DataFrame, run_id: int) -> dict[str, DataFrame]:
     """All report tables of a run by name."""
     versions = versions_of(run.bouts)
+    current = run.current.first()["current_version"]
     deck_cards = lambda df: cards_by_cost(df, card_dim)
     score = [F.coalesce("wilson_lower_bound", F.lit(0.0)).desc(), F.col("sample_count").desc()]
     ordered = lambda df, key: df.orderBy(*score, F.col(key).asc())
     return {
         "overview": overview(run_id, run.config, run.counters),
-        "deck": ordered(deck_cards(stats.with_comparisons(run.decks, "deck_fingerprint", run.current, run.config)), "deck_fingerprint"),
-        "card": ordered(labelled(stats.with_comparisons(run.cards, "card_hash", run.current, run.config), card_dim), "card_hash"),
+        "deck": ordered(deck_cards(stats.with_comparisons(run.decks, "deck_fingerprint", current, run.config)), "deck_fingerprint"),
+        "card": ordered(labelled(stats.with_comparisons(run.cards, "card_hash", current, run.config), card_dim), "card_hash"),
         "deck-version": ordered(deck_cards(stats.version_pivot(run.decks, "deck_fingerprint", versions)), "deck_fingerprint"),
         "card-version": ordered(labelled(stats.version_pivot(run.cards, "card_hash", versions), card_dim), "card_hash"),
         "deck-top": deck_cards(top_decks(stats.base_stats(run.decks))),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("analysis", "boards", "store")
+MODULES = ("scalars", "analysis", "boards", "store", "corpus")
 
 
 def _load() -> None:

@@ -267,14 +267,14 @@ FROM (SELECT * FROM {table} WHERE sample_scope = 'all_players' AND version_scope
 def jn4(spark, d):
     bouts = _scoped(spark, d)
     rows = stats.deck_stats(samples.known_samples(samples.side_samples(bouts)), CFG)
-    return stats.with_comparisons(rows, "deck_fingerprint", stats.current_version(bouts), CFG)
+    return stats.with_comparisons(rows, "deck_fingerprint", stats.current_version(bouts).first()["current_version"], CFG)
 
 
 @query("jn4_card_report", CARD_SQL + _comparison_sql("card_stat", "card_hash", ""))
 def jn4_cards(spark, d):
     bouts = _scoped(spark, d)
     rows = stats.card_stats(samples.known_samples(samples.side_samples(bouts)), CFG)
-    return stats.with_comparisons(rows, "card_hash", stats.current_version(bouts), CFG)
+    return stats.with_comparisons(rows, "card_hash", stats.current_version(bouts).first()["current_version"], CFG)
 
 
 VERSIONS = [f"V{y}" for y in range(1995, 2002)]
