@@ -10,7 +10,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelstats.functions import decks, outcomes, ranks
-from duelstats.functions.loadout import choice_name
 from duelstats.functions.text import sample_date
 from duelstats.operators.ranking import ranked, top
 from duelstats.operators.samples import board_scopes
@@ -79,22 +78,26 @@ def scope_totals(samples: DataFrame) -> DataFrame:
 # ---- behaviour of a board entity ---------------------------------------------------------------------------------
 
 
-def facets(samples: DataFrame) -> DataFrame:
+def facets(samples: DataFrame, anchor: str = "") -> DataFrame:
     """Counts per (rank_scope, deck, kind, name) for players, weapons, styles, souls and dates.
 
-    One pass over the samples: every sample explodes into its few facets, which the map side already adds up.
+    One pass over the samples: every sample explodes into its few facets, which the map side already adds up. Names
+    of choices come normalised and distinct out of the loadout (``functions.loadout``). Blank names do not count. With
+    a fixed trend ``anchor`` only the fourteen days the trend looks at are kept.
     """
-    day = F.date_format(sample_date(F.col("played_at")), "yyyy-MM-dd")
+    date = sample_date(F.col("played_at"))
+    if iso_date(anchor):
+        date = F.when(F.date_diff(F.to_date(F.lit(anchor)), date).between(0, 13), date)
+    day = F.date_format(date, "yyyy-MM-dd")
     item = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
-    souls = F.array_distinct(F.transform(F.coalesce("souls", F.array().cast("array<string>")), choice_name))
     parts = F.concat(
         F.array(
-            item("player", F.trim(F.coalesce("player_name", F.lit("")))),
-            item("weapon", choice_name(F.col("weapon"))),
-            item("style", choice_name(F.col("style"))),
-            item("date", F.coalesce(day, F.lit(""))),
+            item("player", F.trim("player_name")),
+            item("weapon", F.col("weapon")),
+            item("style", F.col("style")),
+            item("date", day),
         ),
-        F.transform(souls, lambda s: item("soul", s)),
+        F.transform(F.coalesce("souls", F.array().cast("array<string>")), lambda s: item("soul", s)),
     )
     exploded = keyed(samples).select("deck_fingerprint", "order_class", "result", F.explode(parts).alias("f"))
     named = exploded.where(F.col("f.name") != "")
@@ -212,7 +215,7 @@ def deck_recent(samples: DataFrame) -> DataFrame:
     lean = keyed(samples).select(
         "deck_fingerprint", "order_class", "result", F.coalesce("played_at", F.lit("")).alias("played_at"),
         F.trim(F.coalesce("player_name", F.lit(""))).alias("player_name"),
-        choice_name(F.col("weapon")).alias("weapon"), choice_name(F.col("style")).alias("style"), "match_id", "side_index",
+        F.coalesce("weapon", F.lit("")).alias("weapon"), F.coalesce("style", F.lit("")).alias("style"), "match_id", "side_index",
     )
     by_class = recent(lean, ["deck_fingerprint", "order_class"])
     return recent(board_scopes(by_class), ["rank_scope", "deck_fingerprint"])

@@ -71,7 +71,7 @@ def build(bouts: DataFrame, cfg: JobConfig, card_dim: DataFrame) -> Boards:
     scoped = samples.in_scope(bouts, cfg)
     rows = samples.side_samples(scoped)
     counts = cut(boards.deck_counts(rows))
-    facets = cut(boards.facets(rows))
+    facets = cut(boards.facets(rows, cfg.trend_anchor))
     latest = cut(boards.deck_recent(rows))
     numbered = cut(ranked_decks(counts))
     members = cut(archetype_members(numbered, card_dim, cfg.similar_cost))

@@ -373,9 +373,9 @@ def job6(spark, d):
 
 @query("job8_behaviour_profile")
 def job8(spark, d):
-    rows = _samples(spark, d)
+    rows = samples.side_samples(samples.in_scope(cut(ct.bouts(spark, d)), CFG))
     counts = cut(boards.scored(boards.deck_counts(rows)))
-    built = boards.profile(counts, cut(boards.facets(rows)), boards.deck_recent(rows), DECK, CFG.anchor)
+    built = boards.profile(counts, cut(boards.facets(rows, CFG.anchor)), boards.deck_recent(rows), DECK, CFG.anchor)
     return built.select(
         *KEYS, "sample_count", "top_player", F.size("weapons").alias("weapons"), F.size("souls").alias("souls"),
         F.col("trend.last_7d_sample_count").alias("last_7d"), F.size("last_30_points").alias("points"), F.col("credibility.label").alias("label"),
@@ -391,7 +391,7 @@ def job8(spark, d):
 UNION ALL SELECT 'card', rank_scope, card_hash, sample_count, {SCORES}, row_number() OVER (PARTITION BY rank_scope ORDER BY {ORDER}, card_hash DESC) FROM card_count""",
 )
 def job4(spark, d):
-    built = jobs.build(ct.bouts(spark, d), V1999, ct.card_dim(spark))
+    built = jobs.build(cut(ct.bouts(spark, d)), V1999, ct.card_dim(spark))
     names = ["rank_scope", "entity", "sample_count", "win_rate", "wilson_lower_bound", "rank"]
     deck_rows = built.decks.withColumnRenamed("deck_fingerprint", "entity").select(F.lit("deck").alias("row_type"), *names)
     return deck_rows.unionByName(built.cards.withColumnRenamed("card_hash", "entity").select(F.lit("card").alias("row_type"), *names))
@@ -399,7 +399,7 @@ def job4(spark, d):
 
 @query("job4_archetypes")
 def job4_archetypes(spark, d):
-    built = jobs.build(ct.bouts(spark, d), V1999, ct.card_dim(spark))
+    built = jobs.build(cut(ct.bouts(spark, d)), V1999, ct.card_dim(spark))
     return built.archetypes.select("rank_scope", "rank", "archetype_id", "title", "member_count", "sample_count", "win_rate", "top_player")
 
 

@@ -6,6 +6,7 @@ Two orders with neighbouring keys are the two sides of one contest; the even one
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from duelstats.functions import decks
 from duelstats.params import JobConfig
@@ -15,8 +16,15 @@ CONFIG = JobConfig(excluded_modes=EXCLUDED, anchor="2001-07-31")
 CARD_COSTS = {"ECONOMY": 1.0, "LARGE": 1.5, "MEDIUM": 2.0, "PROMO": 2.5, "SMALL": 3.0, "STANDARD": 3.5}
 
 
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the data folder; its schema is read from the file footer once."""
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def result_of(status: Column) -> Column:
