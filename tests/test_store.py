@@ -8,7 +8,7 @@ from duelstats.functions import loadout
 from duelstats.operators import frontier, merge, versions
 from duelstats.params import JobConfig, effective_config
 from duelstats.plans import store as jobs
-from duelstats.schemas import SIGHTING
+from duelstats.schemas import PLAYER, SIGHTING
 from duelstats.sources import catalog, packages
 
 SITE = "https://site.example/members"
@@ -63,9 +63,6 @@ def match_rows(spark):
                 detail_url="", play_url="", m3u8_url="", source_url="", title="t", detail_error="", castle_title="城", castle_rows=[("20%", "門", "101.5%")],
                 timeline_labels=[], timeline_data="{}", players=players)
     old = dict(base, public_id="r:y", replay_id="y", version="V0")
-    schema = ", ".join(f for f in (SIGHTING.replace("seq bigint, light boolean, ", "public_id string, primary_follow_id string, ").replace("follow_id string, detail_t", "detail_t", 1)).split(", "))
-    from duelstats.schemas import PLAYER
-
     schema = (
         "public_id string, replay_id string, detail_t string, primary_follow_id string, played_at string, mode string, version string, result string, detail_url string, play_url string, "
         "m3u8_url string, source_url string, title string, detail_error string, castle_title string, castle_rows array<struct<player:string,label:string,enemy:string>>, "
@@ -124,7 +121,7 @@ def test_refused_packages(spark, tmp_path):
     found = jobs.import_packages(packages.read_lines(spark, str(tmp_path)), jobs.Store(spark, str(tmp_path / "none")).registry())
     status = {r.path.rsplit("/", 1)[1][0]: (r.status, r.imported_match_count) for r in found.registry.collect()}
     assert status == {"a": ("completed", 1), "f": ("completed_with_errors", 1), **{k: ("failed", 0) for k in "bcdegh"}}
-    errors = {(r.package_id[:8], r.line): r.error for r in found.errors.collect()}
+    errors = {(r.package_id, r.line): r.error for r in found.errors.collect()}
     assert errors["k3", 4] == "record version differs from target_version"
     reasons = " ".join(errors.values())
     for part in ("forbidden key cookie", "match_count differs", "body_hash differs", "no manifest", "not JSON", "unsupported schema_version v0"):
