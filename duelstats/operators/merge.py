@@ -129,32 +129,36 @@ def merged(resolved: DataFrame, stream_template: str = "{id}", detail_page: str
 
 def typed_sides(matches: DataFrame) -> DataFrame:
     """Merged matches as bouts: the pockets of every side become typed columns, its card list becomes its deck."""
-    sides = matches.select("entity", "result", F.posexplode("players").alias("pos", "p"))
-    profile, selected = F.try_parse_json("p.profile"), F.try_parse_json("p.selected")
-    stat = lambda key: F.coalesce(
-        coerce_number(F.col("_profile"), f"$.battle_stats.{key}.total"), coerce_number(F.col("_profile"), f"$.battle_stats.{key}")
-    )
-    opened = sides.withColumns({"_profile": profile, "_selected": selected, "_souls": loadout.soul_names(F.col("p.selected"))})
-    side = F.struct(
-        F.coalesce("p.side_index", F.col("pos") + 1).cast("int").alias("side_index"),
-        F.coalesce("p.role", F.lit("unknown")).alias("role"),
-        F.coalesce("p.player_name", F.lit("")).alias("player_name"),
-        F.coalesce("p.follow_id", F.lit("")).alias("follow_id"),
-        F.coalesce(F.nullif("p.result", F.lit("")), F.when(F.col("p.role") == "player", F.col("result")), F.lit("unknown")).alias("result"),
-        F.coalesce("p.castle_rate", F.lit("")).alias("castle_rate"),
-        ranks.ranking(F.col("_profile")).alias("rank"),
-        ranks.rank_order(F.col("_profile")).alias("rank_order"),
-        stat("kill_count").alias("kill_count"),
-        stat("death_count").alias("death_count"),
-        loadout.selected_name(F.col("_selected"), "weapon").alias("weapon"),
-        loadout.selected_name(F.col("_selected"), "school").alias("style"),
-        F.col("_souls").alias("souls"),
-        decks.named_cards(F.col("p.deck_ids")).alias("cards"),
-        decks.fingerprint(F.col("p.deck_ids")).alias("deck_fingerprint"),
-    )
-    grouped = opened.groupBy("entity").agg(F.sort_array(F.collect_list(side)).alias("sides"))
-    header = matches.drop("players")
-    return header.join(grouped, "entity", "left").withColumn("match_id", F.col("public_id"))
+
+    def side(p: Column, i: Column) -> Column:
+        profile, selected = F.try_parse_json(p["profile"]), F.try_parse_json(p["selected"])
+        stat = lambda key: F.coalesce(
+            coerce_number(profile, f"$.battle_stats.{key}.total"), coerce_number(profile, f"$.battle_stats.{key}")
+        )
+        text = lambda name, default="": F.coalesce(p[name], F.lit(default)).alias(name)
+        own_result = F.coalesce(F.nullif(p["result"], F.lit("")), F.when(p["role"] == "player", F.col("result")), F.lit("unknown"))
+        return F.struct(
+            F.coalesce(p["side_index"], i + 1).cast("int").alias("side_index"),
+            text("role", "unknown"),
+            text("player_name"),
+            text("follow_id"),
+            own_result.alias("result"),
+            text("castle_rate"),
+            ranks.ranking(profile).alias("rank"),
+            ranks.rank_order(profile).alias("rank_order"),
+            stat("kill_count").alias("kill_count"),
+            stat("death_count").alias("death_count"),
+            loadout.selected_name(selected, "weapon").alias("weapon"),
+            loadout.selected_name(selected, "school").alias("style"),
+            F.get("_souls", i).alias("souls"),
+            decks.named_cards(p["deck_ids"]).alias("cards"),
+            decks.fingerprint(p["deck_ids"]).alias("deck_fingerprint"),
+        )
+
+    pockets = F.coalesce(F.transform("players", lambda p: p["selected"]), F.array().cast("array<string>"))
+    opened = matches.withColumn("_souls", loadout.soul_names(pockets))
+    sides = F.array_sort(F.transform("players", side), lambda a, b: a["side_index"] - b["side_index"])
+    return opened.withColumn("sides", sides).drop("players", "_souls").withColumn("match_id", F.col("public_id"))
 
 
 def last_per_key(rows: DataFrame, *keys: str) -> DataFrame:

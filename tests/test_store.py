@@ -104,6 +104,29 @@ def test_package_round_trip_and_idempotency(spark, package, tmp_path):
     assert store.bridge().count() == 1 and store.sightings().count() == 1
 
 
+def test_busy_contributor_gets_several_packages(spark, tmp_path):
+    one = match_rows(spark).where("version = 'V1'")
+    rows = spark.range(7).join(one.drop("public_id")).withColumn("public_id", F.concat(F.lit("r:"), "id")).withColumn("replay_id", F.col("id").cast("string")).drop("id")
+    manifests = jobs.export_contributions(rows, CFG, F.lit("ann"), str(tmp_path / "p"), "now", size=3)
+    assert sorted(r.match_count for r in manifests.collect()) == [1, 3, 3]
+    found = packages.inspect(read(spark, str(tmp_path / "p"))).collect()
+    assert [r.reason for r in found] == [""] * 3 and sum(r.records for r in found) == 7
+
+
+def test_saved_bouts_prune(spark, tmp_path):
+    from duelstats.operators import samples
+    from tests.literals import bout, bouts, side
+
+    path = str(tmp_path / "bouts")
+    spark.conf.set("spark.sql.maxMetadataValueLength", "5000")
+    jobs.save_bouts(bouts(spark, [bout(i, side(1, "a"), side(2, "b"), version=f"V{i % 2}") for i in range(6)]), path)
+    kept = samples.in_scope(spark.read.parquet(path), JobConfig(version="V1", date_from="2026-05-10", date_to="2026-05-10"))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert kept.count() == 3 and "GreaterThanOrEqual(played_at,2026-05-10)" in plan and "LessThan(played_at,2026-05-11)" in plan
+    assert "PartitionFilters: [isnotnull(version" in plan
+    spark.conf.unset("spark.sql.maxMetadataValueLength")
+
+
 def test_refused_packages(spark, tmp_path):
     good = {"record_type": "match", "version": "V1", "public_id": "p", "players": [{"side_index": 0, "player_name": None, "deck_ids": ["a"]}]}
     def write(name, head, *records, raw=""):
@@ -163,7 +186,7 @@ def test_soul_names(spark):
         [1],
     ]
     df = spark.createDataFrame([(i, json.dumps(p, ensure_ascii=False)) for i, p in enumerate(pockets)], "i int, p string")
-    got = {r.i: r.s for r in df.select("i", loadout.soul_names("p").alias("s")).collect()}
+    got = {r.i: r.s for r in df.select("i", loadout.soul_names(F.array("p"))[0].alias("s")).collect()}
     assert got == {0: ["A", "B C"], 1: ["x"], 2: ["p", "q", "r"], 3: ["z"], 4: ["u", "v"], 5: []}
     name = df.select("i", loadout.selected_name(F.parse_json("p"), "weapon").alias("w"))
     assert {r.i: r.w for r in name.collect() if r.i in (2, 3)} == {2: "刀 英魂 p、q / r", 3: "w"}
