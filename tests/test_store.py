@@ -118,13 +118,13 @@ def test_saved_bouts_prune(spark, tmp_path):
     from tests.literals import bout, bouts, side
 
     path = str(tmp_path / "bouts")
-    spark.conf.set("spark.sql.maxMetadataValueLength", "5000")
     jobs.save_bouts(bouts(spark, [bout(i, side(1, "a"), side(2, "b"), version=f"V{i % 2}") for i in range(6)]), path)
     kept = samples.in_scope(spark.read.parquet(path), JobConfig(version="V1", date_from="2026-05-10", date_to="2026-05-10"))
-    plan = kept._jdf.queryExecution().executedPlan().toString()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    plan = kept._jdf.queryExecution().explainString(mode)
+    print(plan)
     assert kept.count() == 3 and "GreaterThanOrEqual(played_at,2026-05-10)" in plan and "LessThan(played_at,2026-05-11)" in plan
     assert "PartitionFilters: [isnotnull(version" in plan
-    spark.conf.unset("spark.sql.maxMetadataValueLength")
 
 
 def test_refused_packages(spark, tmp_path):
