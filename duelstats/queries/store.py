@@ -269,7 +269,7 @@ def job11(spark, d):
     path, _ = _written(spark, d)
     store = jobs.Store(spark, scratch_path(spark, "store"))
     store.add(packages.read_lines(spark, path, "*.txt"), 1)
-    rows = samples.known_samples(samples.side_samples(samples.in_scope(store.bouts(), CFG)))
+    rows = samples.known_samples(samples.side_samples(samples.in_scope(cut(store.bouts()), CFG)))
     base = stats.base_stats(stats.deck_stats(rows, CFG))
     return base.select("deck_fingerprint", "sample_count", "win_count", "wilson_lower_bound", "avg_kill_count")
 
