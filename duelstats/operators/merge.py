@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelstats.functions import decks, links, loadout, ranks
+from duelstats.functions.markup import let
 from duelstats.functions.text import coerce_number
 from duelstats.operators.components import components
 
@@ -131,7 +132,10 @@ def typed_sides(matches: DataFrame) -> DataFrame:
     """Merged matches as bouts: the pockets of every side become typed columns, its card list becomes its deck."""
 
     def side(p: Column, i: Column) -> Column:
-        profile, selected = F.try_parse_json(p["profile"]), F.try_parse_json(p["selected"])
+        pockets = F.struct(F.try_parse_json(p["profile"]).alias("profile"), F.try_parse_json(p["selected"]).alias("selected"))
+        return let(pockets, lambda v: typed(p, i, v["profile"], v["selected"]))
+
+    def typed(p: Column, i: Column, profile: Column, selected: Column) -> Column:
         stat = lambda key: F.coalesce(
             coerce_number(profile, f"$.battle_stats.{key}.total"), coerce_number(profile, f"$.battle_stats.{key}")
         )
