@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from duelstats.session import cut
+from duelstats.session import cut, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,3 +31,10 @@ def small(df: DataFrame, most: int) -> tuple[DataFrame, bool]:
     """The table written down, and whether it has at most ``most`` rows, so that it may be broadcast."""
     kept = cut(df)
     return kept, kept.limit(most + 1).count() <= most
+
+
+def land(df: DataFrame) -> DataFrame:
+    """``cut`` with zstd, for tables that hold whole texts."""
+    path = scratch_path(df.sparkSession, "land")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
