@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelstats.llm import content_sort, mixing, phrase_index, token_counts, warc
+from duelstats.llm import content_sort, mixing, phrase_index, randomness, token_counts, warc
 from duelstats.llm.base import ORACLES, QUERIES, query, table
 
 OP1 = r"""
@@ -41,6 +41,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op4_secret_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = randomness.secrets(table(spark, sf_dir, "documents"))
+    base = F.filter("_spans", lambda s: s["kind"] < 3)
+    count = lambda k: F.size(F.filter("_spans", lambda s: s["kind"] == k)).cast("bigint")
+    return found.select(
+        F.col("_id").alias("doc_id"),
+        *[count(k).alias(f"n_{name}") for k, name in enumerate(randomness.KINDS)],
+        F.sha2(F.encode(randomness.told(base), "UTF-8"), 256).alias("base_sha256"),
+        randomness.told(F.col("_spans")).alias("spans"),
+    )
+
+
 OP6 = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        CAST(count(*) OVER (PARTITION BY coalesce(text, '')) AS BIGINT) AS group_size,
