@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelstats.llm import content_sort, mixing, phrase_index, randomness, token_counts, warc
+from duelstats.llm import content_sort, importance, mixing, phrase_index, randomness, token_counts, toxicity, warc
 from duelstats.llm.base import ORACLES, QUERIES, query, table
 
 OP1 = r"""
@@ -54,6 +54,21 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.scores(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select(
+        F.col("_id").alias("doc_id"), toxicity.held_out("_id").alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("op8_importance_resampling")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return drawn.select(F.col("_id").alias("doc_id"), F.col("_weight").alias("log_weight"), F.col("_draw").alias("draw"), F.col("_selected").alias("selected"))
+
+
 OP6 = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        CAST(count(*) OVER (PARTITION BY coalesce(text, '')) AS BIGINT) AS group_size,
