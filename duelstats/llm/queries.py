@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelstats.llm import content_sort, importance, mixing, phrase_index, randomness, token_counts, toxicity, warc
+from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, randomness, token_counts, toxicity, warc
 from duelstats.llm.base import ORACLES, QUERIES, query, table
 
 OP1 = r"""
@@ -41,6 +41,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op3_near_dedup")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = near_dedup.near_groups(table(spark, sf_dir, "documents"))
+    return groups.select(F.col("_id").alias("doc_id"), F.col("_class").alias("class_id"), F.col("_size").alias("class_size"), F.col("_stays").alias("kept"))
+
+
 @query("op4_secret_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = randomness.secrets(table(spark, sf_dir, "documents"))

@@ -27,7 +27,7 @@ SUPPORT = 0.01  # share of the toxic documents that a landmark must stand in
 POWER = 2  # products of kernels are kernels; the second power sets whole words further apart from chance likeness
 PIECES = (5, 6, 7, 8)  # lengths of the pieces of words that may become landmarks
 LONGEST = 24  # longer words are read in overlapping windows of this length
-TRAIN_ROWS = 1200  # bound of the labelled documents of each class that the model is fitted on
+TRAIN_ROWS = 1000  # bound of the labelled documents of each class that the model is fitted on
 REMEMBERED = 120_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SPELLED = re.compile(r"(?:(?<!\S)\w[^\w\s]?\s+){2,}\w(?!\w)")  # letters set apart by blanks
@@ -141,13 +141,20 @@ def choose_landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]
         words = {marked(t) for t in (text or "").lower().split()}
         return {w[s : s + n] for w in words for n in PIECES for s in range(max(0, len(w[:LONGEST]) - n + 1))}
 
-    held = [pieces(t) for t in texts]
-    inside = Counter(p for ps, y in zip(held, toxic) if y for p in ps)
-    clean, n_clean = Counter(), max(1, len(toxic) - sum(toxic))
-    useful = {p for p, n in inside.items() if n >= max(2, SUPPORT * sum(toxic))}
-    for ps, y in zip(held, toxic):
+    # counted by hash first, so that only pieces with enough documents are ever held
+    need, rough = max(2, SUPPORT * sum(toxic)), np.zeros(1 << 22, np.int32)
+    for t, y in zip(texts, toxic):
+        if y:
+            rough[np.unique([hash(p) % len(rough) for p in pieces(t)] or [0])] += 1
+    inside, clean, n_clean = Counter(), Counter(), max(1, len(toxic) - sum(toxic))
+    for t, y in zip(texts, toxic):
+        if y:
+            inside.update(p for p in pieces(t) if rough[hash(p) % len(rough)] >= need)
+    useful = {p for p, n in inside.items() if n >= need}
+    for t, y in zip(texts, toxic):
         if not y:
-            clean.update(ps & useful)
+            clean.update(pieces(t) & useful)
+    held = [pieces(t) & useful if y else set() for t, y in zip(texts, toxic)]
     n_toxic = max(1, sum(toxic))
     # what a piece finds among the toxic documents must outweigh by far what it finds among the clean ones
     worth = {p: inside[p] / n_toxic - PURITY * clean[p] / n_clean for p in useful}
