@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, randomness, token_counts, toxicity, warc
+from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, randomness, suffix_buckets, token_counts, toxicity, warc
 from duelstats.llm.base import ORACLES, QUERIES, query, table
 
 OP1 = r"""
@@ -41,6 +41,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op2_repeated_strings")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = suffix_buckets.remove_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select(F.col("_id").alias("doc_id"), F.col("_bytes").alias("n_bytes"), F.col("_removed").alias("n_removed"), F.col("_spans").alias("n_spans"), F.col("_sha").alias("kept_sha256"))
+
+
 @query("op3_near_dedup")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near_dedup.near_groups(table(spark, sf_dir, "documents"))
