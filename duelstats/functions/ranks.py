@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+from duelstats.functions.text import ascii_digits, strip
 from duelstats.params import ALL_PLAYERS, ALL_RANKER, ALL_VERSIONS, RANK_SCOPES, high_rank_scope
 
 RANKING_KEY = "全国主君ランキング"
@@ -32,12 +33,12 @@ def first_text(*columns: Column) -> Column:
 
 
 def ranking(profile: Column) -> Column:
-    digits = F.regexp_extract(F.replace(F.coalesce(pocket_text(profile, RANKING_KEY), F.lit("")), F.lit(","), F.lit("")), r"\d+", 0)
+    digits = F.regexp_extract(F.replace(ascii_digits(F.coalesce(pocket_text(profile, RANKING_KEY), F.lit(""))), F.lit(","), F.lit("")), r"\d+", 0)
     return digits.try_cast("int")
 
 
 def rank_label(profile: Column) -> Column:
-    return F.trim(first_text(*[pocket_text(profile, key) for key in LABEL_KEYS]))
+    return strip(first_text(*[pocket_text(profile, key) for key in LABEL_KEYS]))
 
 
 def order_of_label(label: Column) -> Column:

@@ -12,6 +12,11 @@ def ascii_digits(c: Column) -> Column:
     return F.translate(c, FULL_WIDTH, "0123456789")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any script at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def parse_rate(c: Column) -> Column:
     """First decimal number in a text, else null."""
     return F.regexp_extract(ascii_digits(F.coalesce(c, F.lit(""))), NUMBER, 0).try_cast("double")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelstats.functions import decks, outcomes, ranks
-from duelstats.functions.text import parse_rate
+from duelstats.functions.text import parse_rate, strip
 from duelstats.params import JobConfig
 
 
@@ -26,7 +26,7 @@ def in_window(played_at: Column, cfg: JobConfig) -> Column:
 def regular_mode(mode: Column, cfg: JobConfig) -> Column:
     if cfg.include_solo:
         return F.lit(True)
-    return ~F.trim(F.coalesce(mode, F.lit(""))).isin(*cfg.excluded_modes)
+    return ~strip(F.coalesce(mode, F.lit(""))).isin(*cfg.excluded_modes)
 
 
 def in_scope(bouts: DataFrame, cfg: JobConfig, version_required: bool = False) -> DataFrame:

@@ -59,7 +59,7 @@ def labelled(rows: DataFrame, card_dim: DataFrame, card: str = "card_hash") -> D
     rows = rows.drop("cost")
     joined = rows.join(dim, F.col(card) == F.col("_card"), "left")
     return joined.select(
-        *rows.columns, F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("_label", decks.unknown_label(F.col(card))).alias("label")
+        *[F.col(f"`{c}`") for c in rows.columns], F.coalesce("cost", F.lit(0.0)).alias("cost"), F.coalesce("_label", decks.unknown_label(F.col(card))).alias("label")
     )
 
 
