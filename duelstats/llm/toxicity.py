@@ -28,7 +28,7 @@ POWER = 2  # products of kernels are kernels; the second power sets whole words
 PIECES = (5, 6, 7, 8)  # lengths of the pieces of words that may become landmarks
 LONGEST = 24  # longer words are read in overlapping windows of this length
 TRAIN_ROWS = 1000  # bound of the labelled documents of each class that the model is fitted on
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SPELLED = re.compile(r"(?:(?<!\S)\w[^\w\s]?\s+){2,}\w(?!\w)")  # letters set apart by blanks
 
@@ -38,24 +38,50 @@ def marked(token: str) -> str:
     return f"^{EDGE.sub('', token)}$"
 
 
+def letters(words: list[str], fill: int) -> np.ndarray:
+    """Code points, one row per word, filled up to the longest."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    out = np.full((len(words), size.max(initial=0)), fill, np.int32)
+    out[np.arange(out.shape[1]) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le"), np.int32)
+    return out
+
+
+def meeting(text: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows with a common subsequence of ``ORDER`` characters; all others have a kernel of 0.
+
+    Longest common subsequences of all pairs at once: bit j of a pair's state falls when the landmark's character j extends one.
+    """
+    known = np.unique(codes[codes >= 0])
+    bits = (1 << np.arange(codes.shape[1], dtype=np.uint32)).astype(np.uint32)
+    holds = np.zeros((len(known) + 1, len(codes)), np.uint32)  # the last row is for characters of no landmark
+    for k, c in enumerate(known):
+        holds[k] = ((codes == c) * bits).sum(axis=1, dtype=np.uint32)
+    place = np.minimum(np.searchsorted(known, text), max(0, len(known) - 1))
+    place = np.where(known[place] == text, place, len(known)) if len(known) else np.zeros(text.shape, np.int64)
+    state = np.full((len(text), len(codes)), 0xFFFFFFFF, np.uint32)
+    for i in range(text.shape[1]):
+        hit = state & holds[place[:, i]]
+        state = (state + hit) | (state - hit)
+    length = np.bitwise_count(~state & np.uint32((1 << codes.shape[1]) - 1))
+    return np.nonzero(length >= ORDER)
+
+
 def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
-    """Subsequence kernel of every word with every landmark."""
-    width = max((len(z) for z in landmarks), default=0)
-    codes = np.full((len(landmarks), width), -2, np.int32)
-    for k, z in enumerate(landmarks):
-        codes[k, : len(z)] = [ord(c) for c in z]
-    long = max((len(w) for w in words), default=0)
-    text = np.full((len(words), long), -1, np.int32)
-    for k, w in enumerate(words):
-        text[k, : len(w)] = [ord(c) for c in w]
-    shape = (len(words), len(landmarks))
+    """Subsequence kernel of every word with every landmark (of up to 31 characters)."""
+    out = np.zeros((len(words), len(landmarks)), np.float32)
+    if not words or not landmarks:
+        return out
+    all_text, all_codes = letters(words, -1), letters(landmarks, -2)
+    row, col = meeting(all_text, all_codes)
+    text, codes = np.ascontiguousarray(all_text[row].T), np.ascontiguousarray(all_codes[col].T)
+    width, n = len(codes), len(row)
     # inner[p][j]: subsequences of p characters within the word so far and the first j characters of the landmark, weighted to their ends
-    inner = [[np.full(shape, 1.0 if p == 0 else 0.0, np.float32) for _ in range(width + 1)] for p in range(ORDER)]
-    total = np.zeros(shape, np.float32)
-    for i in range(long):
-        same = [(text[:, i, None] == codes[None, :, j]) for j in range(width)]
+    inner = [[np.full(n, 1.0 if p == 0 else 0.0, np.float32) for _ in range(width + 1)] for p in range(ORDER)]
+    total = np.zeros(n, np.float32)
+    for i in range(len(text)):
+        same = text[i] == codes
         for p in range(ORDER - 1, -1, -1):
-            running = np.zeros(shape, np.float32)
+            running = np.zeros(n, np.float32)
             for j in range(width):
                 step = inner[p][j] * same[j]
                 if p == ORDER - 1:
@@ -63,7 +89,8 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
                 else:
                     running = DECAY * running + DECAY * DECAY * step
                     inner[p + 1][j + 1] = DECAY * inner[p + 1][j + 1] + running
-    return total
+    out[row, col] = total
+    return out
 
 
 class Model:
@@ -232,9 +259,15 @@ def held_out(id_col: str, folds: int = 5):
     return F.pmod(F.crc32(F.encode(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "UTF-8")), F.lit(folds)) == 0
 
 
+_readers: dict[tuple[str, ...], Reader] = {}
+
+
 def _scorer(model: Model):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(model)
+        if (landmarks := tuple(model.landmarks)) not in _readers:  # a worker keeps the last reader over its tasks
+            _readers.clear()
+            _readers[landmarks] = Reader(model)
+        reader = _readers[landmarks]
         for batch in batches:
             scores: list[float] = []
             for start in range(0, batch.num_rows, 64):
