@@ -79,16 +79,19 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     inner = [[np.full(n, 1.0 if p == 0 else 0.0, np.float32) for _ in range(width + 1)] for p in range(ORDER)]
     total = np.zeros(n, np.float32)
     for i in range(len(text)):
-        same = text[i] == codes
-        for p in range(ORDER - 1, -1, -1):
+        same = (text[i] == codes).astype(np.float32)
+        for p in range(min(ORDER - 1, i), -1, -1):  # p characters need as many before them, in the word and in the landmark
             running = np.zeros(n, np.float32)
-            for j in range(width):
+            for j in range(p, width):
                 step = inner[p][j] * same[j]
+                step *= DECAY * DECAY
                 if p == ORDER - 1:
-                    total += DECAY * DECAY * step
+                    total += step
                 else:
-                    running = DECAY * running + DECAY * DECAY * step
-                    inner[p + 1][j + 1] = DECAY * inner[p + 1][j + 1] + running
+                    running *= DECAY
+                    running += step
+                    inner[p + 1][j + 1] *= DECAY
+                    inner[p + 1][j + 1] += running
     out[row, col] = total
     return out
 
@@ -110,8 +113,8 @@ class Model:
         out = np.zeros((len(words), len(self.landmarks)), np.float32)
         windows = [(k, w[s : s + LONGEST]) for k, w in enumerate(words) for s in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2)]
         windows.sort(key=lambda x: len(x[1]))
-        for start in range(0, len(windows), 2048):
-            part = windows[start : start + 2048]
+        for start in range(0, len(windows), 1024):
+            part = windows[start : start + 1024]
             np.maximum.at(out, [k for k, _ in part], np.minimum(kernel([w for _, w in part], self.landmarks) / self.scale, 1.0) ** POWER)
         return out
 
@@ -133,12 +136,17 @@ class Reader:
     def _learn(self, tokens: list[list[str]]) -> None:
         new = list({t for ts in tokens for t in ts if t not in self.known})
         if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.values, self.ends = {}, self.values[:0], self.ends[:0]
+            self.known = {}
             new = list({t for ts in tokens for t in ts})
         if new:
-            self.values = np.concatenate([self.values, self.model.similar([marked(t) for t in new])])
-            self.ends = np.concatenate([self.ends, np.array([t[-1] in ".!?" for t in new])])
-            self.known |= {t: len(self.known) + k for k, t in enumerate(new)}
+            have, need = len(self.known), len(self.known) + len(new)
+            if need > len(self.ends):
+                room = max(need, 2 * len(self.ends))
+                self.values = np.concatenate([self.values[:have], np.zeros((room - have, len(self.model.landmarks)), np.float32)])
+                self.ends = np.concatenate([self.ends[:have], np.zeros(room - have, bool)])
+            self.values[have:need] = self.model.similar([marked(t) for t in new])
+            self.ends[have:need] = np.fromiter((t[-1] in ".!?" for t in new), bool, len(new))
+            self.known |= {t: have + k for k, t in enumerate(new)}
 
     def sentences(self, texts: list[str | None]) -> list[np.ndarray]:
         """Per text one row per sentence; a text without words has one row of zeros."""
