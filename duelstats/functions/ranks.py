@@ -50,7 +50,7 @@ def order_of_label(label: Column) -> Column:
 
 
 def order_of_certificate(certificate: Column) -> Column:
-    n = F.regexp_replace(F.coalesce(certificate, F.lit("")), r"\D", "").try_cast("bigint")
+    n = F.regexp_replace(ascii_digits(F.coalesce(certificate, F.lit(""))), r"\D", "").try_cast("bigint")
     return F.when(n <= 9, 20).when(n < 50, 40).when(n < 100, 50).when(n >= 100, 60)
 
 

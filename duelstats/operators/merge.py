@@ -94,10 +94,13 @@ def merged(resolved: DataFrame, stream_template: str = "{id}", detail_page: str
 
     is_page = F.coalesce(col("detail_url"), F.lit("")).contains(detail_page)
     has_url = filled("detail_url")
+    other_url = F.when(filled("play_url"), col("play_url")).otherwise(col("source_url"))
     address = F.coalesce(
         last_where(col("detail_url"), full & has_url),
         first_where(col("detail_url"), light & is_page),
         last_where(col("detail_url"), light & has_url),
+        # without any, the address under which the match was first seen
+        first_where(other_url, filled(other_url)),
     )
     has_people = F.size("players") > 0
     out = resolved.groupBy("entity").agg(

@@ -31,7 +31,7 @@ def ranked(df: DataFrame, boards: list[str], order: list[Column], name: str = "r
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
     )
     same = [F.col(b).eqNullSafe(F.col(f"_b{i}")) for i, b in enumerate(boards)] + [F.shiftright("_id", 33) == F.col("_s")]
-    numbered = sorted_slices.join(F.broadcast(starts), same)
+    numbered = sorted_slices.join(starts, same)
     rank = F.col("_before") + position - F.col("_first") + 1
     return numbered.select(*df.columns, rank.cast("bigint").alias(name))
 

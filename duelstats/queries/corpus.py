@@ -318,7 +318,7 @@ def st1(spark, d):
 
     path, _ = _written(spark, d)
     root = scratch_path(spark, "store")
-    ingest(spark, path, root, scratch_path(spark, "ingest-checkpoint"), pattern="*.txt").awaitTermination()
+    ingest(spark, path, root, scratch_path(spark, "ingest-checkpoint")).awaitTermination()
     return Store(spark, root).registry().select("target_version", "contributor_id", "status", "imported_match_count")
 
 

@@ -53,7 +53,8 @@ m AS (
     coalesce(arg_max(played_at, k) FILTER (WHERE NOT light), arg_min(played_at, k) FILTER (WHERE light)) AS played_at,
     arg_max(mode, k) FILTER (WHERE mode <> '') AS mode, arg_max(version, k) FILTER (WHERE version <> '') AS version,
     coalesce(arg_max(result, k) FILTER (WHERE result <> 'unknown'), 'unknown') AS result,
-    coalesce(arg_max(detail_url, k) FILTER (WHERE NOT light AND detail_url <> ''), arg_min(detail_url, k) FILTER (WHERE light AND detail_url <> '')) AS detail_url,
+    coalesce(arg_max(detail_url, k) FILTER (WHERE NOT light AND detail_url <> ''), arg_min(detail_url, k) FILTER (WHERE light AND detail_url <> ''),
+      arg_min('https://site.example/members/enbujyo/play?p=' || replay_id, k) FILTER (WHERE replay_id <> '')) AS detail_url,
     coalesce(arg_max('t' || k, k) FILTER (WHERE NOT light OR k % 3 = 1), arg_min('t' || k, k) FILTER (WHERE light)) AS title,
     coalesce(arg_max(player_name, k) FILTER (WHERE NOT light AND k % 11 <> 0), arg_min(player_name, k) FILTER (WHERE light AND k % 11 <> 0)) AS player_name
   FROM res GROUP BY 1)

@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from duelstats.plans.store import Store
-from duelstats.sources.packages import placed_lines
+from duelstats.sources.packages import PATTERN, numbered, placed_lines
 
 
-def arriving(spark: SparkSession, folder: str, pattern: str = "*.jsonl", files_per_batch: int | None = None) -> DataFrame:
+def arriving(spark: SparkSession, folder: str, pattern: str = PATTERN, files_per_batch: int | None = None) -> DataFrame:
     """Stream of package lines with the file and split they come from. A file always falls into one micro-batch."""
     reader = spark.readStream.format("text").option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     if files_per_batch:
@@ -25,7 +25,7 @@ def ingest(
     store_root: str,
     checkpoint: str,
     refresh: Callable[[Store, str, int], None] | None = None,
-    pattern: str = "*.jsonl",
+    pattern: str = PATTERN,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Import everything that has arrived, then stop; run again (or schedule) for what arrives later.
@@ -34,8 +34,6 @@ def ingest(
     time. A batch that is retried replaces its own partitions. ``refresh(store, version, batch)`` runs for each
     version that gained matches, over all history, so late matches count like any others.
     """
-    from duelstats.sources.packages import numbered
-
     def take(batch: DataFrame, batch_id: int) -> None:
         store = Store(spark, store_root)
         store.add(numbered(batch), batch_id)

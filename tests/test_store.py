@@ -104,6 +104,31 @@ def test_package_round_trip_and_idempotency(spark, package, tmp_path):
     assert store.bridge().count() == 1 and store.sightings().count() == 1
 
 
+def test_own_exports_come_back_whatever_they_hold(spark, tmp_path):
+    odd = lambda p: p.withField("player_name", F.lit("a\u0001b\u2028\u00e9")).withField("profile", F.lit('{"n":1e20,"m":0.00001,"k":"\\u0007"}'))
+    jobs.export_contributions(match_rows(spark).withColumn("players", F.transform("players", odd)), CFG, F.lit("ann"), str(tmp_path / "p"), "now")
+    (found,) = packages.inspect(packages.read_lines(spark, str(tmp_path / "p"))).collect()
+    assert (found.reason, found.records) == ("", 1)
+
+
+def test_daily_counts_take_late_rows(spark, tmp_path):
+    from duelstats.streaming import daily
+
+    schema, folder = "ts timestamp, deck string, result string", str(tmp_path / "in")
+    parts = [[("2026-05-20 10:00:00", "a", "win"), ("2026-05-20 11:00:00", "b", "loss")], [("2026-05-20 12:00:00", "a", "loss"), ("2026-04-01 10:00:00", "a", "win")]]
+    frames = [spark.createDataFrame(rows, "ts string, deck string, result string").withColumn("ts", F.to_timestamp("ts")) for rows in parts]
+    for frame in frames:
+        frame.coalesce(1).write.mode("append").parquet(folder)
+        daily.maintain(spark.readStream.schema(schema).parquet(folder), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    rows = lambda df: sorted(map(tuple, df.select("day", "deck", *daily.COUNTS).collect()))
+    assert rows(daily.read(spark, str(tmp_path / "out"))) == rows(daily.daily_counts(frames[0].unionByName(frames[1])))
+
+
+def test_first_address_falls_back(spark):
+    (row,) = merged(spark, sighting(1, replay_id="r", source_url="s"), sighting(2, replay_id="r", play_url="p")).collect()
+    assert row.detail_url == "s"
+
+
 def test_busy_contributor_gets_several_packages(spark, tmp_path):
     one = match_rows(spark).where("version = 'V1'")
     rows = spark.range(7).join(one.drop("public_id")).withColumn("public_id", F.concat(F.lit("r:"), "id")).withColumn("replay_id", F.col("id").cast("string")).drop("id")
