@@ -95,21 +95,24 @@ def part_span(part: int) -> tuple[int, int]:
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spans = np.array([part_span(k) for k in range(-(-SLIDE // PART))])
+    core_of, hull_of, low = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest, 1 << 63
     for batch in batches:
         for start in range(0, batch.num_rows, 64):
-            rows: tuple[list, ...] = ([], [], [], [], [])
+            docs, places, parts, cores, hulls = [], [], [], [], []
             for doc, text, active in zip(*(c.slice(start, 64).to_pylist() for c in batch.columns)):
                 raw = text.encode()
                 starts, at = _open_windows(np.frombuffer(raw, np.uint8), np.unique(np.array(active, np.int64)))
-                pairs = np.unique(np.stack([at, (at - starts) // PART]), axis=1) if len(starts) else np.empty((2, 0), np.int64)
-                for place, part in pairs.T.tolist():
-                    near, far = part_span(part)
-                    core = raw[place - near : place - far + LENGTH]
-                    left, right = place - far, place - near + LENGTH
-                    whole = left >= 0 and right <= len(raw)
-                    for out, value in zip(rows, (doc, place, part, xxhash.xxh3_64_intdigest(core, part) - (1 << 63), xxhash.xxh3_128_digest(raw[left:right]) if whole else None)):
-                        out.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()))], names=["_doc", "_at", "_part", "_core", "_hull"])
+                both = np.unique(at * len(spans) + (at - starts) // PART)
+                place, part = both // len(spans), both % len(spans)
+                near, far = place - spans[part, 0], place - spans[part, 1]
+                docs.append(np.full(len(both), doc, np.int64))
+                places.append(place)
+                parts.append(part)
+                cores += [core_of(raw[x:y], k) - low for x, y, k in zip(near.tolist(), (far + LENGTH).tolist(), part.tolist())]
+                hulls += [hull_of(raw[x:y]) if x >= 0 and y <= len(raw) else None for x, y in zip(far.tolist(), (near + LENGTH).tolist())]
+            arrays = [pa.array(np.concatenate([np.empty(0, np.int64), *x]), t, safe=False) for x, t in ((docs, pa.int64()), (places, pa.int32()), (parts, pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array(cores, pa.int64()), pa.array(hulls, pa.binary())], names=["_doc", "_at", "_part", "_core", "_hull"])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
