@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from duelstats.session import cut
@@ -28,6 +28,8 @@ POWER = 2  # products of kernels are kernels; the second power sets whole words
 PIECES = (5, 6, 7, 8)  # lengths of the pieces of words that may become landmarks
 LONGEST = 24  # longer words are read in overlapping windows of this length
 TRAIN_ROWS = 1000  # bound of the labelled documents of each class that the model is fitted on
+TRAIN_TASKS = 16  # parts that these documents are read in
+BEST = 4000  # pieces that landmarks are chosen from
 REMEMBERED = 200_000
 EDGE = re.compile(r"^[^\w]+|[^\w]+$")
 SPELLED = re.compile(r"(?:(?<!\S)\w[^\w\s]?\s+){2,}\w(?!\w)")  # letters set apart by blanks
@@ -169,32 +171,13 @@ class Reader:
         return out
 
 
-def choose_landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]:
-    """Pieces of words that set the toxic documents apart, each next one for documents that the earlier ones leave out."""
+def pieces(text: str | None) -> set[str]:
+    words = {marked(t) for t in (text or "").lower().split()}
+    return {w[s : s + n] for w in words for n in PIECES for s in range(max(0, len(w[:LONGEST]) - n + 1))}
 
-    def pieces(text: str) -> set[str]:
-        words = {marked(t) for t in (text or "").lower().split()}
-        return {w[s : s + n] for w in words for n in PIECES for s in range(max(0, len(w[:LONGEST]) - n + 1))}
 
-    # counted by hash first, so that only pieces with enough documents are ever held
-    need, rough = max(2, SUPPORT * sum(toxic)), np.zeros(1 << 22, np.int32)
-    for t, y in zip(texts, toxic):
-        if y:
-            rough[np.unique([hash(p) % len(rough) for p in pieces(t)] or [0])] += 1
-    inside, clean, n_clean = Counter(), Counter(), max(1, len(toxic) - sum(toxic))
-    for t, y in zip(texts, toxic):
-        if y:
-            inside.update(p for p in pieces(t) if rough[hash(p) % len(rough)] >= need)
-    useful = {p for p, n in inside.items() if n >= need}
-    for t, y in zip(texts, toxic):
-        if not y:
-            clean.update(pieces(t) & useful)
-    held = [pieces(t) & useful if y else set() for t, y in zip(texts, toxic)]
-    n_toxic = max(1, sum(toxic))
-    # what a piece finds among the toxic documents must outweigh by far what it finds among the clean ones
-    worth = {p: inside[p] / n_toxic - PURITY * clean[p] / n_clean for p in useful}
-    best = set(sorted((p for p in useful if worth[p] > 0), key=lambda p: (-worth[p], -len(p), p))[:4000])
-    bags = [ps & best for ps, y in zip(held, toxic) if y]
+def spread(bags: list[set[str]], found: dict[str, int], n_toxic: int, n_clean: int, most: int) -> list[str]:
+    """Of the toxic documents' pieces, each next one for documents that the earlier ones leave out; ``found`` counts clean documents."""
     chosen: list[str] = []
     while len(chosen) < most:
         before, open_ = len(chosen), bags
@@ -203,7 +186,7 @@ def choose_landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]
             seen = {p: n for p, n in seen.items() if not any(p in c or c in p for c in chosen)}
             if not seen:
                 break
-            top = min(seen, key=lambda p: (PURITY * clean[p] / n_clean - seen[p] / n_toxic, -len(p), p))
+            top = min(seen, key=lambda p: (PURITY * found[p] / n_clean - seen[p] / n_toxic, -len(p), p))
             chosen.append(top)
             open_ = [ps for ps in open_ if top not in ps]
         if len(chosen) == before:
@@ -211,6 +194,18 @@ def choose_landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]
     return chosen or ["aaaa"]
 
 
+def choose_landmarks(texts: list[str], toxic: list[int], most: int) -> list[str]:
+    """Pieces of words that set the toxic documents apart."""
+    n_toxic, n_clean = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
+    inside, clean = Counter(), Counter()
+    for t, y in zip(texts, toxic):
+        (inside if y else clean).update(pieces(t))
+    # what a piece finds among the toxic documents must outweigh by far what it finds among the clean ones
+    worth = {p: n / n_toxic - PURITY * clean[p] / n_clean for p, n in inside.items() if n >= max(2, SUPPORT * sum(toxic))}
+    best = set(sorted((p for p in worth if worth[p] > 0), key=lambda p: (-worth[p], -len(p), p))[:BEST])
+    return spread([pieces(t) & best for t, y in zip(texts, toxic) if y], clean, n_toxic, n_clean, most)
+
+
 def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1000.0) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss, by Newton steps over the rows inside the margin."""
     rows = np.hstack([x, np.ones((len(x), 1))])
@@ -229,17 +224,24 @@ def _machine(x: np.ndarray, y: np.ndarray, cost: float = 1000.0) -> tuple[np.nda
 
 def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds: int = 4) -> Model:
     """Fit on labelled documents. Without both classes every score is the share of toxic rows, 0 where there are none."""
-    y = np.array(toxic, bool)
-    model = Model(choose_landmarks(texts, toxic, landmarks))
+    reader = Reader(model := Model(choose_landmarks(texts, toxic, landmarks)))
+    bags = [s for k in range(0, len(texts), 64) for s in reader.sentences(texts[k : k + 64])]
+    return _fitted(model, np.array(toxic, bool), lambda m: np.array([_worst(b, m) for b in bags]), rounds)
+
+
+def _worst(bag: np.ndarray, model: Model | None) -> np.ndarray:
+    """The sentence that the model rates highest, before there is one the sentence most like a landmark."""
+    return bag[(bag.max(axis=1) if model is None else model.decide(bag)).argmax()]
+
+
+def _fitted(model: Model, y: np.ndarray, worst_by: Callable[[Model | None], np.ndarray], rounds: int = 4) -> Model:
     if not y.any() or y.all():
         model.slope, model.shift = 0.0, 500.0 if y.any() else -500.0
         return model
-    reader = Reader(model)
-    bags = [s for k in range(0, len(texts), 64) for s in reader.sentences(texts[k : k + 64])]
-    worst = np.array([b[b.max(axis=1).argmax()] for b in bags])
+    worst = worst_by(None)
     for _ in range(rounds):
         model.weights, model.bias = _machine(worst @ model.whiten, y)
-        worst = np.array([b[model.decide(b).argmax()] for b in bags])
+        worst = worst_by(model)
     decided = model.decide(worst)
     # calibration: the steepness of a logistic curve through the machine's own boundary
     slope = 1.0
@@ -253,14 +255,92 @@ def fit(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, rounds:
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS) -> Model:
-    """Fit on at most ``rows`` labelled documents of each class, chosen by hash among those whose crc32 of the identifier is not 0 modulo ``folds``."""
-    rated = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("_label")).where("_id is not null and _label is not null").where(~held_out("_id", folds))
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS) -> DataFrame:
+    """At most ``rows`` distinct labelled texts of each class: ``_no`` (from 1), ``_label``, ``_text``.
+
+    Identifiers are chosen by hash among those whose crc32 is not 0 modulo ``folds``. Where several texts share one, no identifier gives a
+    second text before all have given their first, so a hot one fills no more than what the others leave.
+    """
+    rated = labels.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{label}`").alias("_label")).where("_id is not null and _label in (0, 1)").where(~held_out("_id", folds))
     ordered = lambda y: rated.where(F.col("_label") == y).distinct().orderBy(F.xxhash64("_id"), "_id").limit(rows)
     chosen = cut(ordered(1).unionByName(ordered(0)))
-    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text")).join(F.broadcast(chosen), "_id")
-    got = sorted(((r._id, r._text or "", r._label) for r in texts.collect()), key=lambda r: (str(r[0]), r[1], r[2]))
-    return fit([t for _, t, _ in got], [int(y) for _, _, y in got])
+    texts = docs.select(F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text"))
+    texts = texts.join(F.broadcast(chosen), "_id").withColumn("_key", F.sha2("_text", 256))
+    # only identifiers and digests are ranked; a hot identifier's are cut down to ``rows`` before they are shuffled
+    turn = F.row_number().over(Window.partitionBy("_label", "_id").orderBy("_key"))
+    keys = cut(texts.select("_label", "_id", "_key").distinct()).withColumn("_turn", turn).where(F.col("_turn") <= rows)
+    first = lambda y: keys.where(F.col("_label") == y).orderBy("_turn", F.xxhash64("_id"), "_id", "_key").limit(rows)
+    kept = first(1).unionByName(first(0)).drop("_turn")
+    kept = cut(kept.withColumn("_no", F.row_number().over(Window.orderBy("_label", "_id", "_key"))))  # at most 2 * rows
+    taken = texts.join(F.broadcast(kept), ["_label", "_id", "_key"]).groupBy("_no", "_label").agg(F.first("_text").alias("_text"))
+    return cut(taken.repartition(TRAIN_TASKS, "_no"))
+
+
+def _piece_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    inside, clean = Counter(), Counter()
+
+    def told() -> pa.RecordBatch:
+        names = list(inside.keys() | clean.keys())
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[p] for p in names], pa.int64()) for c in (inside, clean))], names=["_piece", "_toxic", "_clean"])
+
+    for batch in batches:
+        for y, text in zip(*(c.to_pylist() for c in batch.columns)):
+            (inside if y else clean).update(pieces(text))
+            if len(inside) + len(clean) > REMEMBERED:
+                yield told()
+                inside.clear(), clean.clear()
+    yield told()
+
+
+def _landmarks(rows: DataFrame, n_toxic: int, n_clean: int, most: int) -> list[str]:
+    """``choose_landmarks`` over a table of labelled texts: pieces are counted in tasks, and the driver gets the best ones alone."""
+    counted = rows.select("_label", "_text").mapInArrow(_piece_counts, "_piece string, _toxic bigint, _clean bigint").groupBy("_piece").agg(F.sum("_toxic").alias("_toxic"), F.sum("_clean").alias("_clean"))
+    worth = F.col("_toxic") / max(1, n_toxic) - F.lit(PURITY) * F.col("_clean") / max(1, n_clean)
+    useful = counted.where(F.col("_toxic") >= max(2, SUPPORT * n_toxic)).withColumn("_worth", worth).where("_worth > 0")
+    best = useful.orderBy(F.desc("_worth"), F.desc(F.length("_piece")), "_piece").limit(BEST).collect()
+    found = {r._piece: r._clean for r in best}
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [sorted(found.keys() & pieces(t)) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.list_(pa.string()))], names=["_pieces"])
+
+    bags = [set(r._pieces) for r in rows.where("_label = 1").select("_text").mapInArrow(held, "_pieces array<string>").collect()]
+    return spread(bags, found, max(1, n_toxic), max(1, n_clean), most)
+
+
+def _bags(model: Model):
+    """The distinct sentence vectors of every text, in order of appearance."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model)
+        for batch in batches:
+            packed = []
+            for text in batch.column(1).to_pylist():
+                bag = reader.sentences([text])[0]
+                packed.append(bag[np.sort(np.unique(bag, axis=0, return_index=True)[1])].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["_no", "_bag"])
+
+    return read
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", folds: int = 5, rows: int = TRAIN_ROWS) -> Model:
+    """Fit on the ``sample``. Texts are read in tasks; the driver gets one sentence vector a text and round."""
+    texts = sample(docs, labels, id_col, text_col, label, folds, rows)
+    y = np.array([r._label for r in texts.select("_no", "_label").orderBy("_no").collect()], int) == 1
+    model = Model(_landmarks(texts, int(y.sum()), int((~y).sum()), LANDMARKS))
+    bags = cut(texts.select("_no", "_text").mapInArrow(_bags(model), "_no int, _bag binary"))
+
+    def worst_by(now: Model | None) -> np.ndarray:
+        def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                best = [_worst(np.frombuffer(b, np.float32).reshape(-1, len(model.landmarks)), now).tobytes() for b in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(best, pa.binary())], names=["_no", "_worst"])
+
+        got = sorted(bags.mapInArrow(pick, "_no int, _worst binary").collect(), key=lambda r: r._no)
+        return np.array([np.frombuffer(r._worst, np.float32) for r in got])
+
+    return _fitted(model, y, worst_by)
 
 
 def held_out(id_col: str, folds: int = 5):

@@ -118,6 +118,23 @@ def test_toxicity_kernel_and_scores(docs, empty):
     assert toxicity.without_toxic(docs, model).columns == docs.columns and toxicity.scores(empty, model).count() == 0
 
 
+def test_toxicity_sample_is_bounded(spark):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    hot, toxic, clean = ids[0], ids[1:4], ids[4:]
+    rows = [(hot, f"text {k} says blarghish today") for k in range(500)] * 2 + [(i, f"you are an idiot, number {i}") for i in toxic]
+    rows += [(i, f"a fine garden with tree {i}") for i in clean]
+    table = spark.createDataFrame(rows, "doc_id int, text string")
+    labels = spark.createDataFrame([(i, int(i not in clean)) for i in ids], "doc_id int, toxic int")
+    got = toxicity.sample(table, labels, rows=20).collect()
+    said = [r._text for r in got if r._label == 1]
+    assert len(said) == len(set(said)) == 20 and sum("idiot" in t for t in said) == 3 and len(got) == 40
+    model = toxicity.train(table, labels, rows=20)
+    score = {r._id: r._score for r in toxicity.scores(table, model).collect()}
+    assert min(score[i] for i in toxic) > 0.5 > max(score[i] for i in clean)
+    same = toxicity.fit([r._text for r in got], [r._label for r in got])
+    assert same.landmarks == model.landmarks and np.allclose(same.weights, model.weights, atol=1e-4)
+
+
 def test_token_counts(docs, empty):
     made = token_counts.tokenizer("byte_bpe_50k.json")
     odd = docs.sparkSession.createDataFrame([(30, "a  b\n c <|endoftext|> d don't  stop 12 , x"), (31, "x" * 50_000)], "doc_id bigint, text string")
