@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 
 from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, randomness, suffix_buckets, token_counts, toxicity, warc
 from duelstats.llm.tokens import Hashes
@@ -80,6 +81,31 @@ def test_sampling_follows_weighted_jaccard():
     assert abs(np.mean(hits) - share**near_dedup.ROWS) < 0.05
 
 
+def test_near_verdict_ignores_collisions(spark):
+    """Two documents of similarity 0.795, and so many other shingles that every counter of the search's sketch is taken."""
+    passage = [f"p{i}" for i in range(1000)]
+    rows = [(k, " ".join(passage + [f"q{k}x{i}" for i in range(95)])) for k in (1, 2)]
+    rows += [(k, " ".join(passage + [f"q{k}x{i}" for i in range(2000)])) for k in range(3, 61)]
+    rows += [(k, " ".join(f"{k * 80_000 + i}" for i in range(75_000))) for k in range(61, 101)]
+    table = spark.createDataFrame(rows, "doc_id int, text string").repartition(8)
+    got = {r._id: r._size for r in near_dedup.near_groups(table).collect()}
+    assert len(got) == 100 and got[1] == got[2] == 1
+
+
+def test_exact_frequencies(spark, docs):
+    known = Hashes()
+    rows = [(i, zstandard.compress(" ".join(near_dedup.words_of(r.text)).encode())) for i, r in enumerate(docs.collect()) if near_dedup.words_of(r.text)]
+    found = {i: near_dedup.shingles(zstandard.decompress(p).decode().split(" "), known)[0] for i, p in rows}
+    seen = Counter(h for f in found.values() for h in f.tolist())
+    landed = spark.createDataFrame(rows, "_doc bigint, _packed binary")
+    for total in (1, 5 * near_dedup.COUNTED):  # one block and several
+        got = near_dedup.with_frequencies(landed, landed.where("_doc > 2").select("_doc"), total).collect()
+        assert {r._doc for r in got} == {i for i in found if i > 2}
+        for r in got:
+            assert np.frombuffer(zstandard.decompress(r._df), np.int64).tolist() == [seen[h] for h in found[r._doc].tolist()]
+    assert max(seen.values()) > 2
+
+
 def test_contamination(spark, docs, empty):
     items = spark.createDataFrame([(1, PASSAGE), (2, "short one"), (3, None), (4, "tie"), (10, PASSAGE.upper())], "item_id int, text string")
     got = {r._id: r for r in phrase_index.contamination(docs, items).collect()}
