@@ -344,8 +344,8 @@ LEFT JOIN cell x ON x.rank_scope = r.rank_scope AND x.row_fingerprint = r.deck_f
 )
 
 
-def _matrix(spark, d):
-    bouts = _set_bouts(spark, d)
+def _matrix(spark, d, as_bouts=_set_bouts):
+    bouts = as_bouts(spark, d)
     axis = matchups.axis(boards.deck_counts(samples.side_samples(bouts)))
     return matchups.matrix(axis, matchups.cells(matchups.pairs(bouts)))
 
@@ -371,6 +371,41 @@ def job6(spark, d):
     return matchups.matrix_totals(matchups.cells(matchups.pairs(_set_bouts(spark, d))))
 
 
+def _deck_sql(sql: str) -> str:
+    return sql.replace("s.card_set AS deck_fingerprint", "s.fp AS deck_fingerprint")
+
+
+@query("ag9_matchup_cells_decks", CELLS_SQL + "SELECT * FROM cell")
+def ag9_decks(spark, d):
+    return matchups.cells(matchups.pairs(_scoped(spark, d)))
+
+
+@query("srt3_matrix_axis_decks", _deck_sql(AXIS_SQL) + f"SELECT rank_scope, deck_fingerprint, CAST(matrix_index AS INT) AS matrix_index, sample_count, {win_rate_sql()} AS win_rate FROM axis")
+def srt3_decks(spark, d):
+    return matchups.axis(boards.deck_counts(_samples(spark, d))).select(*KEYS, "matrix_index", "sample_count", "win_rate")
+
+
+@query("jn8_matchup_matrix_decks", _deck_sql(MATRIX_SQL))
+def jn8_decks(spark, d):
+    return _matrix(spark, d, _scoped)
+
+
+@query(
+    "rs8_matrix_rows_decks",
+    f"SELECT rank_scope, row_index, string_agg(tone, ',' ORDER BY column_index) AS tones, CAST(sum(sample_count) AS BIGINT) AS samples FROM ({_deck_sql(MATRIX_SQL)}) GROUP BY 1, 2",
+)
+def rs8_decks(spark, d):
+    rows = _matrix(spark, d, _scoped).groupBy("rank_scope", "row_index").agg(
+        F.sort_array(F.collect_list(F.struct("column_index", "tone"))).alias("cells"), F.sum("sample_count").alias("samples")
+    )
+    return rows.select("rank_scope", "row_index", F.array_join("cells.tone", ",").alias("tones"), "samples")
+
+
+@query("job6_matrix_totals_decks", CELLS_SQL + "SELECT rank_scope, CAST(sum(sample_count) AS BIGINT) AS sample_count FROM cell GROUP BY 1")
+def job6_decks(spark, d):
+    return matchups.matrix_totals(matchups.cells(matchups.pairs(_scoped(spark, d))))
+
+
 @query("job8_behaviour_profile")
 def job8(spark, d):
     rows = samples.side_samples(samples.in_scope(cut(ct.bouts(spark, d)), CFG))

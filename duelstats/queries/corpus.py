@@ -189,11 +189,20 @@ def rs7(spark, d):
     CARD_SQL + "SELECT card_hash, CASE WHEN r[5] % 3 = 0 THEN upper(r[2]) ELSE r[2] END AS name FROM dim WHERE card_hash NOT LIKE 'f%'",
 )
 def set1(spark, d):
+    return set1_all(spark, d).where(~F.col("card_hash").startswith("f"))
+
+
+@query(
+    "set1_overlay_all",
+    CARD_SQL
+    + """, newer AS (SELECT card_hash, arg_max(upper(name), card_code) AS new_name FROM h WHERE k % 3 = 0 GROUP BY 1)
+SELECT card_hash, coalesce(new_name, r[2]) AS name FROM dim LEFT JOIN newer USING (card_hash)""",
+)
+def set1_all(spark, d):
     table = _card_table(spark, d)
     base = catalog.by_hash(catalog.from_table(table))
     newer = table.where(F.substring("card_code", 2, 20).cast("int") % 3 == 0).withColumn("name", F.upper("name"))
-    both = catalog.overlaid(base, catalog.by_hash(catalog.from_table(newer)))
-    return both.where(~F.col("card_hash").startswith("f")).select("card_hash", "name")
+    return catalog.overlaid(base, catalog.by_hash(catalog.from_table(newer))).select("card_hash", "name")
 
 
 @query(
