@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, randomness, suffix_buckets, token_counts, toxicity, warc
+from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, piece_bpe, randomness, suffix_buckets, token_counts, toxicity, warc
 from duelstats.llm.base import ORACLES, QUERIES, query, table
 
 OP1 = r"""
@@ -152,6 +152,18 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"), least=0)
 
 
+@query("op11_sentencepiece")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = piece_bpe.round_trip(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
+    told = F.array_join(F.col("_ids").cast("array<string>"), " ")
+    return coded.select(
+        F.col("_id").alias("doc_id"),
+        F.size("_ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.encode(told, "UTF-8"), 256).alias("ids_sha256"),
+        F.sha2(F.encode("_decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import zlib
 from collections import Counter
 
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, randomness, suffix_buckets, token_counts, toxicity, warc
+from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, piece_bpe, randomness, suffix_buckets, token_counts, toxicity, warc
 from duelstats.llm.tokens import Hashes
 
 SCHEMA = "doc_id bigint, text string, source string, _text string, _doc string"  # the last two clash with names used inside
@@ -204,3 +205,28 @@ def test_warc_reader_rejects_damage():
             list(warc.read_records(io.BytesIO(packed(bad))))
     with pytest.raises(warc.ArchiveError):
         list(warc.read_records(io.BytesIO(packed(good)[:-12])))
+
+
+def test_pieces_equal_the_library(spark, docs, empty):
+    import public_tokenizers
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    model = piece_bpe.pieces("piece_bpe_32k.model")
+    rng = random.Random(3)
+    normal = [p.replace("▁", " ") for p in model.normal]
+    texts = ["", " ", "a\nb", "x\0y", "▁a", "a▁▁b", "日本🙂", "</s> <unk> <0x41>", "\ufeffhi", "\U0010ffff x", "the" * 3000, "x" * 5000, "-" * 999]
+    texts += [end + " " * k + start for k in range(70) for end in ("", "b") for start in ("", "a", "日\n  ")]  # long rows of blanks
+    texts += ["".join(rng.choices(normal, k=rng.randint(1, 60))) for _ in range(500)]
+    texts += ["".join(rng.choices("ab aeinst\n.,1🙂é日=-", k=rng.randint(1, 200))) for _ in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    got = {r._id: r for r in piece_bpe.round_trip(rows).collect()}
+    for k, text in enumerate(texts):
+        want = library.encode(text, add_eos=True)
+        assert got[k]._ids == want and got[k]._decoded == library.decode(want)
+    listed = [rng.choices(range(300 if k % 3 else 32_000), k=rng.randint(0, 12)) for k in range(600)]  # bytes in any order
+    said = piece_bpe.decoded(spark.createDataFrame(list(enumerate(listed)), "doc_id int, ids array<int>")).collect()
+    assert all(r._decoded == library.decode(listed[r._id]) for r in said) and len(said) == 600
+    assert [(r._ids, r._decoded) for r in piece_bpe.round_trip(docs).where("_id in (1, 2)").collect()] == [([2], "")] * 2
+    assert piece_bpe.round_trip(docs).count() == docs.count() and piece_bpe.round_trip(empty).count() == 0
+    assert piece_bpe.decoded(spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")).collect()[0]._decoded == ""
