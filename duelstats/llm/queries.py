@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, piece_bpe, randomness, suffix_buckets, token_counts, toxicity, warc
+from duelstats.llm import content_sort, importance, mixing, near_dedup, periodic_runs, phrase_index, piece_bpe, randomness, spelling, suffix_buckets, token_counts, toxicity, warc
 from duelstats.llm.base import ORACLES, QUERIES, query, table
+from duelstats.session import cut
 
 OP1 = r"""
 WITH d AS (
@@ -164,6 +165,89 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# the checksum of gzip and zlib (its polynomial is a fixed value) over a list of bytes, bit by bit
+CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(encode({0}))) // 2),
+  lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))),
+  lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+OP12 = rf"""
+WITH RECURSIVE r AS (
+  SELECT translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, coalesce(CAST(doc_id AS VARCHAR), '') AS id
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS w FROM documents) WHERE length(w) >= 6),
+k AS (SELECT id, w, count(*) AS c FROM r GROUP BY 1, 2),
+h AS (SELECT *, {CRC32.format("id || ':' || w")} AS h FROM k),
+s AS (SELECT CASE WHEN h % 199 = 0 THEN substr(w, 1, CAST(h % length(w) AS INT)) || substr(w, CAST(h % length(w) AS INT) + 2) ELSE w END AS word, c FROM h),
+v AS (SELECT word, CAST(sum(c) AS BIGINT) AS n FROM s WHERE length(word) >= 6 GROUP BY 1 HAVING sum(c) >= 5),
+d AS (SELECT word, n, length(word) AS l, i, substr(word, 1, CAST(i AS INT) - 1) || substr(word, CAST(i AS INT) + 1) AS cut FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM v)),
+e AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM d a JOIN d b ON a.cut = b.cut AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM v a JOIN d b ON a.word = b.cut
+  UNION SELECT b.word, a.word, a.n FROM v a JOIN d b ON a.word = b.cut),
+g AS (SELECT word, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM e GROUP BY 1),
+f AS (SELECT v.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * n THEN form END AS form, CASE WHEN form_n >= 5 * n THEN form_n END AS form_n FROM v LEFT JOIN g USING (word)),
+way AS (SELECT word, word AS at FROM f UNION ALL SELECT way.word, f.form FROM way JOIN f ON way.at = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, way.at AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n
+FROM f JOIN way USING (word) JOIN f z ON z.word = way.at WHERE z.form IS NULL"""
+
+
+@query("op12_spelling_variants", OP12)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocab = spelling.vocabulary(spelling.slips(spelling.words(table(spark, sf_dir, "documents"))))
+    found = spelling.variants(cut(vocab))
+    return found.select(
+        F.col("_word").alias("word"),
+        F.col("_form").alias("form"),
+        F.col("_root").alias("root"),
+        F.col("_n").alias("n"),
+        F.col("_near").alias("n_near"),
+        F.col("_form_n").alias("form_n"),
+    )
+
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS o, CAST(doc_id AS VARCHAR) AS id FROM documents),
+h AS (SELECT *, len(o) AS n, {CRC32.format("id")} AS h FROM d),
+g AS (SELECT *, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n END AS a, h // 10 AS g FROM h),
+p AS (SELECT rid, doc_id, o, n, a, 1 + (n - a) // (3 + g % 8) AS p FROM g),
+t AS (
+  SELECT rid, i, CASE WHEN a IS NULL OR i < a THEN o[i + 1] ELSE o[a + (i - a) % p + 1] END AS w
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+six AS (SELECT rid, i, string_agg(w, ' ') OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) AS s FROM t),
+like_ AS (SELECT a.rid, a.i, b.i - a.i AS q FROM six a JOIN six b ON a.rid = b.rid AND a.s = b.s AND a.i < b.i),
+island AS (SELECT rid, q, i, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS k FROM like_),
+pair AS (SELECT rid, q, min(i) AS start, count(*) + 5 + q AS length FROM island GROUP BY rid, q, k),
+run AS (SELECT rid, start, length, min(q) AS period FROM pair WHERE length >= greatest(12, 2 * q) GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT rid, unnest(range(start + period, start + length)) AS i FROM run),
+kept AS (SELECT rid, string_agg(w, ' ' ORDER BY i) AS s FROM t ANTI JOIN gone USING (rid, i) GROUP BY 1),
+r AS (
+  SELECT rid, count(*) AS n_runs, first({{'start': start, 'length': length, 'period': period}} ORDER BY length DESC, start, period) AS best,
+         string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told
+  FROM run GROUP BY 1)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(best.start AS BIGINT) AS start, CAST(best.length AS BIGINT) AS length, CAST(best.period AS BIGINT) AS period,
+       CAST(1000 * best.length // best.period AS BIGINT) AS exponent_milli, sha256(coalesce(told, '')) AS runs_sha256, sha256(coalesce(s, '')) AS collapsed_sha256
+FROM p LEFT JOIN r USING (rid) LEFT JOIN kept USING (rid)"""
+
+
+@query("op13_periodic_runs", OP13)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repeated = periodic_runs.with_repeats(table(spark, sf_dir, "documents"))
+    found = periodic_runs.periodic_runs(repeated, id_col="_id", text_col="_text")
+    ranked = F.transform("_runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("shorter")))
+    best = F.array_max(ranked)
+    told = F.array_join(F.transform("_runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("*", best.alias("_best")).select(
+        F.col("_id").alias("doc_id"),
+        F.size("_runs").cast("bigint").alias("n_runs"),
+        (-F.col("_best.before")).alias("start"),
+        F.col("_best.length").alias("length"),
+        (-F.col("_best.shorter")).alias("period"),
+        F.floor(1000 * F.col("_best.length") / -F.col("_best.shorter")).alias("exponent_milli"),
+        F.sha2(F.encode(told, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("_collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
 def all_queries() -> dict:
     return dict(QUERIES)
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 import zstandard
 
-from duelstats.llm import content_sort, importance, mixing, near_dedup, phrase_index, piece_bpe, randomness, suffix_buckets, token_counts, toxicity, warc
+from duelstats.llm import content_sort, importance, mixing, near_dedup, periodic_runs, phrase_index, piece_bpe, randomness, spelling, suffix_buckets, token_counts, toxicity, warc
 from duelstats.llm.tokens import Hashes
 
 SCHEMA = "doc_id bigint, text string, source string, _text string, _doc string"  # the last two clash with names used inside
@@ -230,3 +231,103 @@ def test_pieces_equal_the_library(spark, docs, empty):
     assert [(r._ids, r._decoded) for r in piece_bpe.round_trip(docs).where("_id in (1, 2)").collect()] == [([2], "")] * 2
     assert piece_bpe.round_trip(docs).count() == docs.count() and piece_bpe.round_trip(empty).count() == 0
     assert piece_bpe.decoded(spark.createDataFrame([(1, None), (2, [])], "doc_id int, ids array<int>")).collect()[0]._decoded == ""
+
+
+def _near(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    return len(b) == len(a) + 1 and any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def test_spelling_links_and_roots(spark, docs, empty):
+    rng = random.Random(2)
+    made = {"".join(rng.choices("abcé", k=rng.randint(1, 8))) for _ in range(900)} | {"".join(rng.choices(["th", "er", "in"], k=rng.randint(3, 9))) for _ in range(900)}
+    made |= {"x" * k for k in range(1, 40)} | {"long" * 500, "long" * 499 + "lon"}
+    many = {w: rng.choice([5, 6, 30, 200, 1100]) for w in made}
+    near = {w: set() for w in made}
+    for a, b in itertools.combinations(sorted(made, key=len), 2):
+        if len(b) - len(a) <= 1 and _near(a, b):
+            near[a].add(b)
+            near[b].add(a)
+    form = {}
+    for w in made:
+        best = min(near[w], key=lambda v: (-many[v], v), default=None)
+        form[w] = best if best is not None and many[best] >= 5 * many[w] else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    vocab = spark.createDataFrame(list(many.items()), "_word string, _n bigint")
+    want = {w: (many[w], len(near[w]), form[w], form[w] and many[form[w]], root(w)) for w in made}
+    for most in (1000, 3):  # lists as they are, and split down to one open letter
+        got = spelling.variants(vocab, most=most).collect()
+        assert {r._word: (r._n, r._near, r._form, r._form_n, r._root) for r in got} == want and len(got) == len(made)
+    assert any(form[f] for f in form.values() if f) and max(map(len, near.values())) > 5
+    assert spelling.variants(spelling.vocabulary(spelling.words(empty))).count() == 0
+
+
+def test_spelling_words(spark, docs):
+    rows = spark.createDataFrame([(7, "ÄPFELBÄUME äpfelbäume Ab abcdefgh-ABCDEFGH"), (None, "without"), (3, None), (3, "")], "doc_id bigint, text string")
+    assert sorted(r._word for r in spelling.words(rows).collect()) == ["abcdefgh", "abcdefgh", "without", "ÄpfelbÄume", "äpfelbäume"]
+    words = [(k, "".join(random.Random(k).choices("abcdefgß", k=9))) for k in range(2000)] + [(None, "nothings")] * 3
+    want = []
+    for k, w in words:
+        h = zlib.crc32(f"{'' if k is None else k}:{w}".encode())
+        want.append(w if h % 199 else w[: h % len(w)] + w[h % len(w) + 1 :])
+    slipped = spelling.slips(spark.createDataFrame(words, "_id bigint, _word string"))
+    assert Counter(r._word for r in slipped.collect()) == Counter(want) and 0 < sum(len(w) == 8 for w in want) < 50
+    assert spelling.vocabulary(spelling.words(docs), least=40).count() == 0 and spelling.words(docs).columns == ["_id", "_word"]
+
+
+def _runs(words):
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(12, 2 * q):
+                found.setdefault((i, j + q - i), q)
+            i = max(j, i + 1)
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def test_periodic_runs(spark, docs, empty):
+    rng = random.Random(4)
+    texts = [[], ["one"], ["a"] * 500, ["a", "b"] * 6, ["a", "b"] * 5 + ["a"], [f"w{k}" for k in range(300)] * 2]
+    for _ in range(400):
+        said = [rng.choice("ab cd efghij".split() if rng.random() < 0.1 else "abc") for _ in range(rng.randint(0, 90))]
+        if len(said) > 3 and rng.random() < 0.6:
+            a = rng.randrange(len(said))
+            p = rng.randint(1, max(1, (len(said) - a) // 2))
+            said = [said[i if i < a else a + (i - a) % p] for i in range(len(said))]
+        texts.append(said)
+    rows = spark.createDataFrame([(k, " \t\n"[k % 3].join(t) + "\r\x0b "[: k % 3]) for k, t in enumerate(texts)], "doc_id int, text string").repartition(3)
+    got = {r._id: r for r in periodic_runs.periodic_runs(rows).collect()}
+    for k, t in enumerate(texts):
+        want = _runs(t)
+        gone = {i for s, n, q in want for i in range(s + q, s + n)}
+        assert [tuple(r) for r in got[k]._runs] == want
+        assert got[k]._collapsed == " ".join(w for i, w in enumerate(t) if i not in gone)
+    odd = periodic_runs.periodic_runs(docs).collect()
+    assert len(odd) == docs.count() and next(r for r in odd if r._id == 8)._runs[0].period == 4
+    assert all(r._runs == [] and r._collapsed == "" for r in odd if r._id in (1, 2))
+    assert periodic_runs.periodic_runs(empty).count() == 0
+
+
+def test_periodic_repeats(spark, docs):
+    rows = [(k, " \n".join(f"w{i}" for i in range(k % 37))) for k in range(300)] + [(None, "a  b"), (5, None)]
+    got = Counter((r._id, r._text) for r in periodic_runs.with_repeats(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    want = Counter()
+    for k, text in rows:
+        h, said = zlib.crc32(str(k).encode()), (text or "").split()
+        if k is not None and h % 10 == 0 and said:
+            n, g = len(said), h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            text = " ".join(said[i if i < a else a + (i - a) % p] for i in range(n))
+        want[k, text] += 1
+    assert got == want
