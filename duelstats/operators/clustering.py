@@ -3,21 +3,20 @@
 Rule: decks come in board order; a deck joins the first leader it shares at least ``threshold`` cost with, else it
 becomes a leader itself. Only leaders attract, so clusters do not chain.
 
-The sequential rule is the lexicographically first maximal independent set of the similarity graph, and that can be
-found in parallel rounds (Blelloch, Fineman, Shun: "Greedy sequential maximal independent set and matching are
-parallel on average", SPAA 2012). The graph itself is never built, since a popular card would put its edges at the
-square of its decks. Instead every deck lists its *signatures*: the minimal sets of its cards that reach the
-threshold. Two decks are similar exactly when they have a signature in common, and all decks under one signature are
-similar to each other, so per signature only its smallest undecided rank matters. The work is linear in the
-signatures, every step is a keyed aggregation or an equi join, and no group is ever listed in pairs.
+Decks of any width go one way. Only the costed cards of a deck count, so decks with the same ones are one *set*, placed
+where its first deck stands. Sets are looked up by an inverted index over weighted prefixes: with the cards of a set in one
+common order, rare ones first, two sets that share enough cost share a card before the point where the rest falls
+below the threshold, so common cards seldom have to be looked up.
+
+The sequential rule is the lexicographically first maximal independent set of the similarity graph. It is found in
+blocks of growing length in board order (Blelloch, Fineman, Shun: "Greedy sequential maximal independent set and
+matching are parallel on average", SPAA 2012): what is left after the leaders so far took theirs is sparse, so only
+few sets of a block are similar. Within a block a set without an earlier open neighbour is a leader, in rounds; then
+the new leaders take theirs among all sets behind the block, and the pairs are never written, only the first leader.
 """
 
 from __future__ import annotations
 
-from typing import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from duelstats.functions import decks, outcomes
@@ -25,9 +24,9 @@ from duelstats.operators.ranking import ranked, top
 from duelstats.params import CORE_LIMIT, MEMBER_LIMIT, SIMILAR_COST
 from duelstats.session import cut
 
-# A deck of more costed cards than this may have too many signatures to list; such input takes the other way.
-SIGNATURE_CARDS = 16
-BLOCK = 512
+BLOCK = 512  # sets of a board in the first block; the next ones are GROWTH times as long
+GROWTH = 4
+BLOCK_MOST = 1 << 15
 
 
 def shared_cost(left: Column, right: Column, costs: Column) -> Column:
@@ -44,123 +43,78 @@ def costed_cards(ranked_decks: DataFrame, card_dim: DataFrame, board: str) -> Da
     return priced.groupBy(board, "rank").agg(falling.alias("cards"))
 
 
-def signatures(cards: Column, threshold: float) -> Column:
-    """All minimal card sets that reach the threshold, as texts.
+def card_sets(ranked_decks: DataFrame, card_dim: DataFrame, threshold: float, board: str) -> tuple[DataFrame, DataFrame]:
+    """Decks (board, rank, first) whose costed cards reach the threshold, and their sets (board, first, cards, costs, prefix).
 
-    Cards come dearest first. A set is minimal if it reaches the threshold only with its last, cheapest card, so
-    growing the open sets card by card and closing each at the moment it reaches the threshold lists every minimal
-    set once.
+    ``first`` is the smallest rank with the same cards. ``cards`` are in the order of the index, ``prefix`` are those that
+    a similar set may share first. A deck below the threshold is similar to none, not even to its equals.
     """
-    grown = lambda o, c: F.struct((o["s"] - c["minus"]).alias("s"), F.concat(o["k"], F.lit(","), c["card"]).alias("k"))
-    start = F.struct(
-        F.array(F.struct(F.lit(0.0).alias("s"), F.lit("").alias("k"))).alias("open"), F.array().cast("array<string>").alias("done")
-    )
-
-    def step(state: Column, c: Column) -> Column:
-        bigger = F.transform(state["open"], lambda o: grown(o, c))
-        closed = F.transform(F.filter(bigger, lambda o: o["s"] >= threshold), lambda o: o["k"])
-        return F.struct(
-            F.concat(state["open"], F.filter(bigger, lambda o: o["s"] < threshold)).alias("open"),
-            F.concat(state["done"], closed).alias("done"),
+    priced = costed_cards(ranked_decks, card_dim, board)
+    cost = F.aggregate("cards", F.lit(0.0), lambda total, c: total - c["minus"])
+    priced = cut(priced.where(cost >= threshold).withColumn("key", F.array_join("cards.card", ",")))
+    firsts = priced.groupBy(board, "key").agg(F.min("rank").alias("first"), F.any_value("cards").alias("cards"))
+    firsts = cut(firsts)
+    singles = firsts.select(board, "first", F.explode("cards").alias("c")).select(board, "first", F.col("c.card").alias("card"), (-F.col("c.minus")).alias("cost"))
+    common = singles.groupBy(board, "card").agg(F.count(F.lit(1)).alias("often"))
+    rare_first = F.sort_array(F.collect_list(F.struct("often", "card", "cost")))
+    sets = singles.join(common, [board, "card"]).groupBy(board, "first").agg(rare_first.alias("c"))
+    # cost from each card to the end, by what stands before it; a little more for the rounding of sums
+    total = F.aggregate("c.cost", F.lit(0.0), lambda t, x: t + x)
+    before = lambda i: F.aggregate(F.slice("c.cost", 1, i), F.lit(0.0), lambda t, x: t + x)
+    prefix = F.filter("c.card", lambda _, i: F.col("total") - before(i) >= threshold - 1e-9)
+    sets = sets.withColumn("total", total).select(board, "first", F.col("c.card").alias("cards"), F.col("c.cost").alias("costs"), prefix.alias("prefix"))
+    numbered = priced.select(board, "rank", "key").join(firsts.select(board, "key", "first"), [board, "key"])
+    return numbered.select(board, "rank", "first"), cut(sets)
+
+
+def _similar(index: DataFrame, probe: DataFrame, threshold: float, board: str) -> DataFrame:
+    """(board, first, near): sets of ``index`` that the sets of ``probe`` share enough cost with, found once per shared prefix card."""
+    left = index.select(board, F.col("first").alias("near"), F.col("cards").alias("near_cards"), F.map_from_arrays("cards", "costs").alias("cost"), F.explode("prefix").alias("card"))
+    right = probe.select(board, "first", "cards", F.explode("prefix").alias("card"))
+    met = left.join(right, [board, "card"]).where(F.col("near") < F.col("first"))
+    return met.where(shared_cost(F.col("near_cards"), F.col("cards"), F.col("cost")) >= threshold).select(board, "first", "near")
+
+
+def _heads(nodes: DataFrame, edges: DataFrame, board: str) -> DataFrame:
+    """Nodes (board, first) that the sequential rule makes leaders, among ``edges`` (board, first, near) to earlier nodes."""
+    open_, heads = nodes, None
+    while True:
+        new = cut(open_.join(edges.select(board, "first").distinct(), [board, "first"], "left_anti"))
+        heads = new if heads is None else heads.unionByName(new)
+        if edges.isEmpty():
+            return heads
+        near = new.withColumnRenamed("first", "near")
+        taken = cut(edges.join(near, [board, "near"], "left_semi").select(board, "first").distinct())
+        decided = new.unionByName(taken)
+        open_ = open_.join(decided, [board, "first"], "left_anti")
+        # taken nodes attract nobody, so their edges go at both ends
+        edges = cut(
+            edges.join(taken, [board, "first"], "left_anti").join(decided.withColumnRenamed("first", "near"), [board, "near"], "left_anti")
         )
 
-    return F.aggregate(cards, start, step, lambda state: state["done"])
-
 
 def leaders(ranked_decks: DataFrame, card_dim: DataFrame, threshold: float = SIMILAR_COST, board: str = "rank_scope") -> DataFrame:
     """Map every deck to the rank of its leader: (board, rank, leader).
 
     ``ranked_decks`` has (board, rank, deck_fingerprint); boards are clustered side by side.
     """
-    cards = cut(costed_cards(ranked_decks, card_dim, board))
-    widest = cards.agg(F.coalesce(F.max(F.size("cards")), F.lit(0)).alias("n")).first()["n"]
-    if widest > SIGNATURE_CARDS:
-        found = _leaders_by_blocks(cards, threshold, board)
-    else:
-        found = _leaders_by_signatures(cards, threshold, board)
-    own = ranked_decks.select(board, "rank").join(found, [board, "rank"], "left")
-    return own.withColumn("leader", F.coalesce("leader", "rank"))
-
-
-def _leaders_by_signatures(cards: DataFrame, threshold: float, board: str) -> DataFrame:
-    listed = cards.select(board, "rank", F.explode(signatures(F.col("cards"), threshold)).alias("sig"))
-    # a signature of one deck links nothing
-    linking = listed.groupBy(board, "sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select(board, "sig")
-    links = cut(listed.join(linking, [board, "sig"]))
-    degree = links.groupBy(board, "rank").agg(F.count(F.lit(1)).alias("degree"))
-    links = cut(links.join(degree, [board, "rank"]))
-    undecided, taken = links, None
+    numbered, undecided = card_sets(ranked_decks, card_dim, threshold, board)
+    found, size = undecided.select(board, "first", F.col("first").alias("leader")).limit(0), BLOCK
     while not undecided.isEmpty():
-        # the first undecided deck of every signature
-        first = undecided.groupBy(board, "sig").agg(F.min(F.struct("rank", "degree")).alias("m"))
-        # a deck that comes first in all its signatures has no earlier neighbour left: a leader
-        new = (
-            first.groupBy(board, F.col("m.rank").alias("leader"), F.col("m.degree").alias("degree"))
-            .agg(F.count(F.lit(1)).alias("n"))
-            .where(F.col("n") == F.col("degree"))
-        )
-        marked = cut(
-            first.select(board, "sig", F.col("m.rank").alias("leader")).join(new.select(board, "leader"), [board, "leader"], "left_semi").select(board, "sig", "leader")
-        )
-        taken = marked if taken is None else taken.unionByName(marked)
-        decided = undecided.join(marked.select(board, "sig"), [board, "sig"], "left_semi").select(board, "rank").distinct()
-        undecided = cut(undecided.join(decided, [board, "rank"], "left_anti"))
-    if taken is None:
-        return links.select(board, "rank", F.col("rank").alias("leader")).limit(0)
-    # a signature has at most one leader; a deck belongs to the earliest among its signatures
-    return links.join(taken, [board, "sig"]).groupBy(board, "rank").agg(F.min("leader").alias("leader"))
-
-
-def _leaders_by_blocks(cards: DataFrame, threshold: float, board: str) -> DataFrame:
-    """The same clusters for decks too wide to list signatures.
-
-    Per round the first ``BLOCK`` undecided decks of every board are settled in order, which is a bounded piece of
-    work, and all later decks are compared with the new leaders in one narrow pass.
-    """
-    schema = f"{cards.schema[board].simpleString()}, rank bigint, cards array<struct<minus:double,card:string>>, leader bigint"
-    undecided, settled = cards.withColumn("leader", F.lit(None).cast("bigint")), None
-    while not undecided.isEmpty():
-        block = top(undecided, [board], [F.col("rank").asc()], BLOCK, "place").drop("place", "leader")
-        heads: dict = {}
-        for row in sorted(block.collect(), key=lambda r: r["rank"]):
-            mine = {c["card"]: -c["minus"] for c in row["cards"]}
-            known = heads.setdefault(row[board], [])
-            if not any(sum(cost for card, cost in mine.items() if card in deck) >= threshold for _, deck in known):
-                known.append((row["rank"], mine))
-
-        def attach(batches: Iterator[pd.DataFrame], heads: dict = heads) -> Iterator[pd.DataFrame]:
-            tables = {}
-            for key, known in heads.items():
-                vocabulary = {card: i for i, card in enumerate(sorted({c for _, deck in known for c in deck}))}
-                weight = np.zeros((len(vocabulary), len(known)))
-                for j, (_, deck) in enumerate(known):
-                    for card, cost in deck.items():
-                        weight[vocabulary[card], j] = cost
-                tables[key] = (vocabulary, weight, np.array([rank for rank, _ in known]))
-            for pdf in batches:
-                out = []
-                for key, part in pdf.groupby(board, sort=False):
-                    part = part.copy()
-                    if key in tables:
-                        vocabulary, weight, ranks = tables[key]
-                        has = np.zeros((len(part), len(vocabulary)))
-                        for i, deck in enumerate(part["cards"]):
-                            has[i, [vocabulary[c["card"]] for c in deck if c["card"] in vocabulary]] = 1.0
-                        near = has @ weight >= threshold
-                        part["leader"] = pd.array(np.where(near.any(axis=1), ranks[near.argmax(axis=1)], -1)).astype("Int64")
-                        own = part["rank"].isin(ranks)
-                        part.loc[own, "leader"] = part.loc[own, "rank"]
-                        part.loc[part["leader"] == -1, "leader"] = pd.NA
-                    out.append(part)
-                yield pd.concat(out)
-
-        compared = cut(undecided.mapInPandas(attach, schema))
-        done = compared.where(F.col("leader").isNotNull()).select(board, "rank", "leader")
-        settled = done if settled is None else settled.unionByName(done)
-        undecided = compared.where(F.col("leader").isNull())
-    if settled is None:
-        return cards.select(board, "rank", F.col("rank").alias("leader"))
-    return settled
+        block = cut(top(undecided, [board], [F.col("first").asc()], size, "place").drop("place"))
+        edges = cut(_similar(block, block, threshold, board).distinct())
+        heads = _heads(block.select(board, "first"), edges, board)
+        own = heads.withColumn("leader", F.col("first"))
+        inside = edges.join(heads.withColumnRenamed("first", "near"), [board, "near"]).groupBy(board, "first").agg(F.min("near").alias("leader"))
+        rest = undecided.join(block.select(board, "first"), [board, "first"], "left_anti")
+        behind = _similar(block.join(heads, [board, "first"], "left_semi"), rest, threshold, board).groupBy(board, "first").agg(F.min("near").alias("leader"))
+        behind = cut(behind)
+        found = found.unionByName(own).unionByName(inside).unionByName(behind)
+        undecided = cut(rest.join(behind, [board, "first"], "left_anti"))
+        size = min(GROWTH * size, BLOCK_MOST)
+    joined = numbered.join(found, [board, "first"]).select(board, "rank", "leader")
+    own = ranked_decks.select(board, "rank").join(joined, [board, "rank"], "left")
+    return own.withColumn("leader", F.coalesce("leader", "rank"))
 
 
 def memberships(ranked_decks: DataFrame, card_dim: DataFrame, threshold: float = SIMILAR_COST, board: str = "rank_scope") -> DataFrame:
@@ -223,10 +177,18 @@ def first_members(members: DataFrame, board: str = "rank_scope", limit: int = ME
 def first_similar(ranked_decks: DataFrame, card_dim: DataFrame, threshold: float = SIMILAR_COST, board: str = "rank_scope") -> DataFrame:
     """Earliest similar deck of every deck that has an earlier one: (board, rank, first_similar).
 
-    The similarity join without its pairs: a signature's smallest rank stands for all decks under it.
+    The similarity join without its pairs: blocks of sets in board order are looked up by all sets that have found none
+    yet, and a set that has found one is not asked again.
     """
-    cards = costed_cards(ranked_decks, card_dim, board)
-    links = cards.select(board, "rank", F.explode(signatures(F.col("cards"), threshold)).alias("sig"))
-    first = links.groupBy(board, "sig").agg(F.min("rank").alias("first"))
-    nearest = links.join(first, [board, "sig"]).groupBy(board, "rank").agg(F.min("first").alias("first_similar"))
+    numbered, sets = card_sets(ranked_decks, card_dim, threshold, board)
+    undecided, ahead, size = sets, sets, BLOCK
+    found = sets.select(board, "first", F.col("first").alias("near")).limit(0)
+    while not undecided.isEmpty() and not ahead.isEmpty():
+        block = cut(top(ahead, [board], [F.col("first").asc()], size, "place").drop("place"))
+        near = cut(_similar(block, undecided, threshold, board).groupBy(board, "first").agg(F.min("near").alias("near")))
+        found = found.unionByName(near)
+        undecided = cut(undecided.join(near, [board, "first"], "left_anti"))
+        ahead = cut(ahead.join(block.select(board, "first"), [board, "first"], "left_anti"))
+        size = min(GROWTH * size, BLOCK_MOST)
+    nearest = numbered.join(found, [board, "first"], "left").select(board, "rank", F.coalesce("near", "first").alias("first_similar"))
     return nearest.where(F.col("first_similar") < F.col("rank"))

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from duelstats.operators import boards, matchups, samples
+from duelstats.operators import boards, clustering, matchups, samples
 from duelstats.operators.ranking import page, ranked
 from duelstats.plans import leaderboard as jobs
 from duelstats.queries.analysis import CLUSTER_SQL, CORE_SQL
@@ -242,46 +242,98 @@ def wn3(spark, d):
 
 BOARD_CLUSTERS = (
     DECKS_SQL.replace("WITH line", "WITH RECURSIVE line")
-    + ",\nall_deck AS (SELECT * FROM deck_count WHERE rank_scope = 'traveler_down')"
-    + CLUSTER_SQL.format(wilson=raw_wilson_sql(), ties="win_count DESC, deck_fingerprint DESC", base="all_deck")
+    + f""",
+ranked_deck AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY rank_scope ORDER BY {ORDER}, deck_fingerprint DESC) AS r FROM deck_count),
+priced AS (
+  SELECT rank_scope, r, card, cost FROM (SELECT rank_scope, r, unnest(list_distinct(string_split(deck_fingerprint, ','))) AS card FROM ranked_deck) JOIN cost USING (card) WHERE cost > 0),
+deck_set AS MATERIALIZED (SELECT rank_scope, r, string_agg(card, ',' ORDER BY card) AS cards FROM priced GROUP BY 1, 2 HAVING sum(cost) >= 5.0),
+card_set AS MATERIALIZED (
+  SELECT rank_scope, cards, min(r) AS first, row_number() OVER (PARTITION BY rank_scope ORDER BY min(r)) AS i FROM deck_set GROUP BY 1, 2),
+set_card AS (SELECT rank_scope, i, card, cost FROM (SELECT rank_scope, i, unnest(string_split(cards, ',')) AS card FROM card_set) JOIN cost USING (card)),
+near AS MATERIALIZED (
+  SELECT rank_scope, ib, list(ia ORDER BY ia) AS near_sets FROM (
+    SELECT a.rank_scope, a.i AS ib, b.i AS ia FROM set_card a JOIN set_card b ON a.rank_scope = b.rank_scope AND a.card = b.card AND b.i < a.i GROUP BY 1, 2, 3 HAVING sum(a.cost) >= 5.0)
+  GROUP BY 1, 2),
+walk AS (
+  SELECT DISTINCT rank_scope, 0::BIGINT AS i, []::BIGINT[] AS reps, NULL::BIGINT AS leader FROM card_set
+  UNION ALL
+  SELECT w.rank_scope, w.i + 1, CASE WHEN hit IS NULL THEN list_append(reps, w.i + 1) ELSE reps END, coalesce(hit, w.i + 1)
+  FROM walk w JOIN card_set c ON c.rank_scope = w.rank_scope AND c.i = w.i + 1 LEFT JOIN near n ON n.rank_scope = w.rank_scope AND n.ib = w.i + 1,
+    LATERAL (SELECT list_min(list_intersect(n.near_sets, w.reps)) AS hit)),
+member AS MATERIALIZED (
+  SELECT d.*, coalesce(h.first, d.r) AS leader
+  FROM ranked_deck d LEFT JOIN deck_set s USING (rank_scope, r) LEFT JOIN card_set c USING (rank_scope, cards)
+  LEFT JOIN walk w ON w.rank_scope = c.rank_scope AND w.i = c.i LEFT JOIN card_set h ON h.rank_scope = w.rank_scope AND h.i = w.leader)"""
 )
 
 
 def _clusters(spark, d):
-    counts = cut(boards.deck_counts(_samples(spark, d)).where(F.col("rank_scope") == "traveler_down"))
+    counts = cut(boards.deck_counts(_samples(spark, d)))
     return counts, cut(jobs.archetype_members(cut(jobs.ranked_decks(counts)), ct.card_dim(spark)))
 
 
-@query("gr1_board_archetypes", BOARD_CLUSTERS + "SELECT r AS rank, leader, deck_fingerprint FROM member")
+@query("gr1_board_archetypes", BOARD_CLUSTERS + "SELECT rank_scope, r AS rank, leader, deck_fingerprint FROM member")
 def gr1(spark, d):
-    return _clusters(spark, d)[1].select("rank", "leader", "deck_fingerprint")
+    return _clusters(spark, d)[1].select("rank_scope", "rank", "leader", "deck_fingerprint")
 
 
 @query(
     "ag17_archetype_board",
     BOARD_CLUSTERS
     + f""", rolled AS (
-  SELECT arg_min(deck_fingerprint, r) AS representative, CAST(sum(sample_count) AS BIGINT) AS sample_count, CAST(sum(win_count) AS BIGINT) AS win_count,
-    CAST(sum(loss_count) AS BIGINT) AS loss_count, CAST(sum(draw_count) AS BIGINT) AS draw_count FROM member GROUP BY leader)
-SELECT 'traveler_down' AS rank_scope, *, {SCORES}, row_number() OVER (ORDER BY {ORDER}, representative DESC) AS rank FROM rolled""",
+  SELECT rank_scope, arg_min(deck_fingerprint, r) AS representative, CAST(sum(sample_count) AS BIGINT) AS sample_count, CAST(sum(win_count) AS BIGINT) AS win_count,
+    CAST(sum(loss_count) AS BIGINT) AS loss_count, CAST(sum(draw_count) AS BIGINT) AS draw_count FROM member GROUP BY rank_scope, leader)
+SELECT *, {SCORES}, row_number() OVER (PARTITION BY rank_scope ORDER BY {ORDER}, representative DESC) AS rank FROM rolled""",
 )
 def ag17(spark, d):
     counts, members = _clusters(spark, d)
     return jobs.archetype_board(boards.regrouped(counts, members.select(*KEYS, "representative")))
 
 
+WIDE_SQL = (
+    """WITH RECURSIVE owned AS (
+  SELECT o_custkey AS owner, count(*) AS n, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS deck_fingerprint
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey GROUP BY 1),
+cost AS (SELECT 'Brand#' || i AS card, [1.0, 1.5, 2.0, 2.5, 3.0, 3.5][i % 6 + 1]::DOUBLE AS cost FROM range(1, 26) t(i))"""
+    + CLUSTER_SQL.replace("sum(a.cost) >= 5.0", "sum(a.cost) >= 46.0").format(wilson="n", ties="owner", base="(SELECT *, 0 AS sample_count FROM owned)")
+)
+
+
+def _wide(spark, d):
+    """A customer's deck: the brands of all parts they ordered, up to 25."""
+    lines = ct.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_partkey").alias("p_partkey"))
+    owned = lines.join(ct.table(spark, d, "orders").select("o_orderkey", "o_custkey"), "o_orderkey").join(ct.table(spark, d, "part").select("p_partkey", "p_brand"), "p_partkey")
+    decks = owned.groupBy(F.col("o_custkey").alias("owner")).agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set("p_brand")), ",").alias("deck_fingerprint"))
+    return cut(ranked(decks.withColumn("board", F.lit("wide")), ["board"], [F.col("n").desc(), F.col("owner").asc()]))
+
+
+@query("gr1_wide_decks", WIDE_SQL + "SELECT owner, r AS rank, leader FROM member")
+def gr1_wide(spark, d):
+    numbered = _wide(spark, d)
+    found = clustering.leaders(numbered, ct.card_dim(spark, "p_brand"), 46.0, "board")
+    return found.join(numbered.select("board", "rank", "owner"), ["board", "rank"]).select("owner", "rank", "leader")
+
+
+@query("jn9_wide_decks", WIDE_SQL + "SELECT rb AS rank, CAST(min(ra) AS BIGINT) AS first_similar FROM edge GROUP BY 1")
+def jn9_wide(spark, d):
+    return clustering.first_similar(_wide(spark, d), ct.card_dim(spark, "p_brand"), 46.0, "board").drop("board")
+
+
+BOARD_CORE_SQL = CORE_SQL.replace("leader", "rank_scope, leader").replace("GROUP BY 1, 2", "GROUP BY 1, 2, 3")
+
+
 @query(
     "fn37_archetype_titles",
     BOARD_CLUSTERS
-    + CORE_SQL
-    + """SELECT substr(sha256('archetype:' || (SELECT deck_fingerprint FROM ranked_deck q WHERE q.r = leader)), 1, 16) AS archetype_id,
+    + BOARD_CORE_SQL
+    + """SELECT c.rank_scope, substr(sha256('archetype:' || any_value(q.deck_fingerprint)), 1, 16) AS archetype_id,
   string_agg(card, ' / ' ORDER BY place) FILTER (WHERE place <= 3) || ' 系' AS title
-FROM core WHERE place <= 5 AND spent < 5.0 GROUP BY leader""",
+FROM core c JOIN ranked_deck q ON q.rank_scope = c.rank_scope AND q.r = c.leader WHERE place <= 5 AND spent < 5.0 GROUP BY c.rank_scope, leader""",
 )
 def fn37(spark, d):
     counts, members = _clusters(spark, d)
     board = jobs.archetype_board(boards.regrouped(counts, members.select(*KEYS, "representative")))
-    return jobs.describe(board, members, ct.card_dim(spark), 5.0).select("archetype_id", "title")
+    return jobs.describe(board, members, ct.card_dim(spark), 5.0).select("rank_scope", "archetype_id", "title")
 
 
 CELLS_SQL = (
@@ -299,27 +351,18 @@ cell AS (
 )
 
 
-def _set_sql(sql: str) -> str:
-    return sql.replace("s.fp AS deck_fingerprint", "s.card_set AS deck_fingerprint")
-
-
-def _set_bouts(spark, d):
-    as_set = lambda s: s.withField("deck_fingerprint", F.array_join(F.sort_array(F.array_distinct(s["cards"])), ","))
-    return _scoped(spark, d).withColumn("sides", F.transform("sides", as_set))
-
-
 @query("jn7_matchup_pairs", CELLS_SQL + "SELECT match_id, side_index, row_fingerprint, column_fingerprint, board_result AS result FROM pair WHERE rank_scope = 'all'")
 def jn7(spark, d):
     return matchups.pairs(_scoped(spark, d)).drop("order_class")
 
 
-@query("ag9_matchup_cells", _set_sql(CELLS_SQL) + "SELECT * FROM cell")
+@query("ag9_matchup_cells", CELLS_SQL + "SELECT * FROM cell")
 def ag9(spark, d):
-    return matchups.cells(matchups.pairs(_set_bouts(spark, d)))
+    return matchups.cells(matchups.pairs(_scoped(spark, d)))
 
 
 AXIS_SQL = (
-    _set_sql(CELLS_SQL)
+    CELLS_SQL
     + f""",
 deck_count AS (SELECT rank_scope, deck_fingerprint, {counts_sql('board_result')} FROM board GROUP BY 1, 2),
 axis AS (
@@ -330,7 +373,7 @@ axis AS (
 
 @query("srt3_matrix_axis", AXIS_SQL + f"SELECT rank_scope, deck_fingerprint, CAST(matrix_index AS INT) AS matrix_index, sample_count, {win_rate_sql()} AS win_rate FROM axis")
 def srt3(spark, d):
-    counts = boards.deck_counts(samples.side_samples(_set_bouts(spark, d)))
+    counts = boards.deck_counts(samples.side_samples(_scoped(spark, d)))
     return matchups.axis(counts).select(*KEYS, "matrix_index", "sample_count", "win_rate")
 
 
@@ -344,8 +387,8 @@ LEFT JOIN cell x ON x.rank_scope = r.rank_scope AND x.row_fingerprint = r.deck_f
 )
 
 
-def _matrix(spark, d, as_bouts=_set_bouts):
-    bouts = as_bouts(spark, d)
+def _matrix(spark, d):
+    bouts = _scoped(spark, d)
     axis = matchups.axis(boards.deck_counts(samples.side_samples(bouts)))
     return matchups.matrix(axis, matchups.cells(matchups.pairs(bouts)))
 
@@ -366,43 +409,8 @@ def rs8(spark, d):
     return rows.select("rank_scope", "row_index", F.array_join("cells.tone", ",").alias("tones"), "samples")
 
 
-@query("job6_matrix_totals", _set_sql(CELLS_SQL) + "SELECT rank_scope, CAST(sum(sample_count) AS BIGINT) AS sample_count FROM cell GROUP BY 1")
+@query("job6_matrix_totals", CELLS_SQL + "SELECT rank_scope, CAST(sum(sample_count) AS BIGINT) AS sample_count FROM cell GROUP BY 1")
 def job6(spark, d):
-    return matchups.matrix_totals(matchups.cells(matchups.pairs(_set_bouts(spark, d))))
-
-
-def _deck_sql(sql: str) -> str:
-    return sql.replace("s.card_set AS deck_fingerprint", "s.fp AS deck_fingerprint")
-
-
-@query("ag9_matchup_cells_decks", CELLS_SQL + "SELECT * FROM cell")
-def ag9_decks(spark, d):
-    return matchups.cells(matchups.pairs(_scoped(spark, d)))
-
-
-@query("srt3_matrix_axis_decks", _deck_sql(AXIS_SQL) + f"SELECT rank_scope, deck_fingerprint, CAST(matrix_index AS INT) AS matrix_index, sample_count, {win_rate_sql()} AS win_rate FROM axis")
-def srt3_decks(spark, d):
-    return matchups.axis(boards.deck_counts(_samples(spark, d))).select(*KEYS, "matrix_index", "sample_count", "win_rate")
-
-
-@query("jn8_matchup_matrix_decks", _deck_sql(MATRIX_SQL))
-def jn8_decks(spark, d):
-    return _matrix(spark, d, _scoped)
-
-
-@query(
-    "rs8_matrix_rows_decks",
-    f"SELECT rank_scope, row_index, string_agg(tone, ',' ORDER BY column_index) AS tones, CAST(sum(sample_count) AS BIGINT) AS samples FROM ({_deck_sql(MATRIX_SQL)}) GROUP BY 1, 2",
-)
-def rs8_decks(spark, d):
-    rows = _matrix(spark, d, _scoped).groupBy("rank_scope", "row_index").agg(
-        F.sort_array(F.collect_list(F.struct("column_index", "tone"))).alias("cells"), F.sum("sample_count").alias("samples")
-    )
-    return rows.select("rank_scope", "row_index", F.array_join("cells.tone", ",").alias("tones"), "samples")
-
-
-@query("job6_matrix_totals_decks", CELLS_SQL + "SELECT rank_scope, CAST(sum(sample_count) AS BIGINT) AS sample_count FROM cell GROUP BY 1")
-def job6_decks(spark, d):
     return matchups.matrix_totals(matchups.cells(matchups.pairs(_scoped(spark, d))))
 
 

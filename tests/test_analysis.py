@@ -1,3 +1,5 @@
+import pytest
+
 from duelstats.operators import clustering, samples, stats
 from duelstats.params import ALL_PLAYERS, ALL_RANKER, ALL_VERSIONS, JobConfig
 from duelstats.plans import analysis
@@ -116,9 +118,47 @@ def test_clusters_equal_the_sequential_rule(spark):
     dim = cards(spark, **costs)
     assert len(leaders) > 20
     assert {r["rank"]: r.leader for r in clustering.leaders(rows, dim).collect()} == expect
-    limit, block = clustering.SIGNATURE_CARDS, clustering.BLOCK
-    try:
-        clustering.SIGNATURE_CARDS, clustering.BLOCK = 0, 16
-        assert {r["rank"]: r.leader for r in clustering.leaders(rows, dim).collect()} == expect
-    finally:
-        clustering.SIGNATURE_CARDS, clustering.BLOCK = limit, block
+
+
+def _sequential(decks, costs, threshold):
+    leaders, leader, first = [], {}, {}
+    sets = [(r, {c for c in fp.split(",") if costs.get(c, 0) > 0}) for r, fp in enumerate(decks, 1)]
+    near = lambda a, b: sum(costs[c] for c in a & b) >= threshold
+    for rank, mine in sets:
+        hit = next((r for r, other in leaders if near(mine, other)), None)
+        if hit is None:
+            leaders.append((rank, mine))
+        leader[rank] = hit or rank
+        seen = next((r for r, other in sets[: rank - 1] if near(mine, other)), None)
+        if seen is not None:
+            first[rank] = seen
+    return leader, first
+
+
+@pytest.mark.parametrize("names,low,high,threshold,many", [(60, 20, 40, 16.0, 400), (20, 1, 7, 5.0, 250), (25, 2, 25, 12.0, 300)])
+def test_wide_decks_in_blocks_equal_the_sequential_rule(spark, monkeypatch, names, low, high, threshold, many):
+    import random
+
+    draw = random.Random(names)
+    costs = {f"c{i}": draw.choice([0.0, 1.0, 1.5, 2.0, 2.5, 3.0]) for i in range(names)}
+    boards = {}
+    for board in ("s", "t"):
+        decks = list(dict.fromkeys(",".join(sorted(draw.choices(list(costs) + ["unpriced"], k=draw.randint(low, high)))) for _ in range(many)))
+        decks += ["c1,c2" + ",c1" * k for k in range(3)]  # one set in several decks
+        draw.shuffle(decks)
+        boards[board] = list(dict.fromkeys(decks))
+    rows = spark.createDataFrame([(b, i, fp) for b, decks in boards.items() for i, fp in enumerate(decks, 1)], "rank_scope string, rank bigint, deck_fingerprint string")
+    dim = cards(spark, **costs)
+    want = {b: _sequential(decks, costs, threshold) for b, decks in boards.items()}
+    assert all(5 < len(set(leader.values())) < many - 5 for leader, _ in want.values())
+    monkeypatch.setattr(clustering, "BLOCK", 40)
+    monkeypatch.setattr(clustering, "GROWTH", 2)
+    got = {(r.rank_scope, r["rank"]): r.leader for r in clustering.leaders(rows, dim, threshold).collect()}
+    assert got == {(b, rank): head for b, (leader, _) in want.items() for rank, head in leader.items()}
+    near = {(r.rank_scope, r["rank"]): r.first_similar for r in clustering.first_similar(rows, dim, threshold).collect()}
+    assert near == {(b, rank): r for b, (_, first) in want.items() for rank, r in first.items()}
+
+
+def test_clusters_of_nothing(spark):
+    none = spark.createDataFrame([], "rank_scope string, rank bigint, deck_fingerprint string")
+    assert clustering.leaders(none, cards(spark, a=1.0)).count() == 0 and clustering.first_similar(none, cards(spark, a=1.0)).count() == 0
