@@ -14,8 +14,9 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from duelstats.session import cut, scratch_path
@@ -57,9 +58,9 @@ def record(page_id, url: str | None, payload: bytes, refers_to=None, revisit: bo
         ("Content-Length", str(len(block))),
     ]
     if page_id is not None:
-        fields.append(("Page-Id", str(page_id)))
+        fields.append(("Page-Id", quote(str(page_id))))
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, payload_digest)), ("Refers-To-Page-Id", str(refers_to))]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to, payload_digest)), ("Refers-To-Page-Id", quote(str(refers_to)))]
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields).encode() + b"\r\n" + block + END
 
 
@@ -70,27 +71,28 @@ def _filesystem(folder: str):
 
 
 def _writer(folder: str, archive_bytes: int):
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = lambda: pa.RecordBatch.from_pydict({"archive": [name], "records": [count], "bytes": [size]})
         fs, root = _filesystem(folder)
         fs.create_dir(root, recursive=True)
         out, name, size, count = None, "", 0, 0
         for batch in batches:
-            for page_id, url, html, revisit, refers_to in zip(*(batch[c] for c in ("_id", "_url", "_html", "_revisit", "_refers"))):
+            for page_id, url, html, revisit, refers_to in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     name, size, count = f"{uuid.uuid4().hex}.warc.gz", 0, 0
                     out = fs.open_output_stream(f"{root}/{name}", compression=None)
                 member = zlib.compressobj(6, zlib.DEFLATED, 31)
-                raw = record(None if pd.isna(page_id) else int(page_id), url, (html or "").encode(), None if pd.isna(refers_to) else int(refers_to), bool(revisit))
+                raw = record(page_id, url, (html or "").encode(), refers_to, revisit)
                 packed = member.compress(raw) + member.flush()
                 out.write(packed)
                 size, count = size + len(packed), count + 1
                 if size >= archive_bytes:
                     out.close()
                     out = None
-                    yield pd.DataFrame({"archive": [name], "records": [count], "bytes": [size]})
+                    yield told()
         if out is not None:
             out.close()
-            yield pd.DataFrame({"archive": [name], "records": [count], "bytes": [size]})
+            yield told()
 
     return write
 
@@ -100,17 +102,19 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
     Of pages with equal payloads of at least ``least`` bytes, that with the largest identifier is the response and the others revisit
     it; rows that share that identifier are responses too, and so are all of a group without identifiers. A null text is an
-    empty payload, a null address an empty one. An empty table writes nothing.
+    empty payload, a null address an empty one. Identifiers of any type go into the records as text. An empty table writes nothing.
     """
     html = F.coalesce(F.col(f"`{html_col}`"), F.lit(""))
-    rows = pages.select(F.col(f"`{id_col}`").cast("bigint").alias("_id"), F.col(f"`{url_col}`").alias("_url"), html.alias("_html"))
-    rows = rows.withColumn("_sha", F.unhex(F.sha1(F.encode("_html", "UTF-8")))).withColumn("_n", F.octet_length("_html"))
+    rows = pages.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{url_col}`").alias("_url"), html.alias("_html"))
+    # the archive's digest alone can be made to agree for different payloads
+    same = ["_sha", "_other", "_n"]
+    rows = rows.withColumns({"_sha": F.unhex(F.sha1(F.encode("_html", "UTF-8"))), "_other": F.xxhash64("_html"), "_n": F.octet_length("_html")})
     # pages alone with their payload need no partner: only groups of two and more are joined
-    shared = rows.where(F.col("_n") >= least).groupBy("_sha", "_n").agg(F.max("_id").alias("_best"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
-    joined = rows.join(cut(shared), ["_sha", "_n"], "left")
+    shared = rows.where(F.col("_n") >= least).groupBy(*same).agg(F.max("_id").alias("_best"), F.count(F.lit(1)).alias("_rows")).where("_rows > 1").drop("_rows")
+    joined = rows.join(cut(shared), same, "left")
     revisit = F.col("_best").isNotNull() & ~F.col("_id").eqNullSafe(F.col("_best"))
-    dealt = joined.select("_id", "_url", "_html", revisit.alias("_revisit"), F.when(revisit, F.col("_best")).alias("_refers"))
-    return cut(dealt.mapInPandas(_writer(folder, archive_bytes), "archive string, records bigint, bytes bigint"))
+    dealt = joined.select(F.col("_id").cast("string"), "_url", "_html", revisit.alias("_revisit"), F.when(revisit, F.col("_best").cast("string")).alias("_refers"))
+    return cut(dealt.mapInArrow(_writer(folder, archive_bytes), "archive string, records bigint, bytes bigint"))
 
 
 def members(stream) -> Iterator[Iterator[bytes]]:
@@ -199,29 +203,30 @@ def read_records(stream, with_payload: bool = False) -> Iterator[dict]:
             raise ArchiveError("a block doesn't match its digest")
         if not revisit and fields["warc-payload-digest"] != "sha1:" + digest(payload.digest()):
             raise ArchiveError("a payload doesn't match its digest")
-        number = lambda k: int(fields[k]) if k in fields else None
+        name = lambda k: unquote(fields[k]) if k in fields else None
         yield {
-            "page_id": number("page-id"),
+            "page_id": name("page-id"),
             "record_type": fields["warc-type"],
             "record_id": fields["warc-record-id"],
             "refers_to_record": fields.get("warc-refers-to"),
-            "refers_to": number("refers-to-page-id"),
+            "refers_to": name("refers-to-page-id"),
             "url": fields["warc-target-uri"],
             "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"),
             "stored_bytes": size,
         } | ({"payload": b"".join(kept)} if with_payload else {})
 
 
-SCHEMA = "page_id bigint, record_type string, record_id string, refers_to_record string, refers_to bigint, url string, payload_digest string, stored_bytes bigint"
+SCHEMA = "page_id string, record_type string, record_id string, refers_to_record string, refers_to string, url string, payload_digest string, stored_bytes bigint"
 
 
 def _reader(folder: str, with_payload: bool):
-    names = [f.split()[0] for f in SCHEMA.split(", ")] + (["payload"] if with_payload else [])
+    kinds = {"string": pa.string(), "bigint": pa.int64()}
+    fields = [(n, kinds[k]) for n, k in (f.split() for f in SCHEMA.split(", "))] + ([("payload", pa.binary())] if with_payload else [])
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = _filesystem(folder)
         for batch in batches:
-            for name in batch["archive"]:
+            for name in batch.column(0).to_pylist():
                 with fs.open_input_stream(f"{root}/{name}", compression=None) as stream:
                     rows: list[dict] = []
                     held = 0
@@ -229,22 +234,18 @@ def _reader(folder: str, with_payload: bool):
                         rows.append(found)
                         held += 200 + len(found.get("payload", b""))
                         if held > 1 << 22:
-                            yield _frame(rows, names)
+                            yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
                             rows, held = [], 0
                     if rows:
-                        yield _frame(rows, names)
+                        yield pa.RecordBatch.from_pylist(rows, pa.schema(fields))
 
     return read
 
 
-def _frame(rows: list[dict], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
-
-
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
-    """Every record of the archives that the manifest names, one archive after another in each task."""
+    """Every record of the archives that the manifest names, one archive after another in each task; identifiers are texts."""
     files = manifest.select("archive").repartition(max(1, manifest.count()))
-    return files.mapInPandas(_reader(folder, with_payload), SCHEMA + (", payload binary" if with_payload else ""))
+    return files.mapInArrow(_reader(folder, with_payload), SCHEMA + (", payload binary" if with_payload else ""))
 
 
 def round_trip(pages: DataFrame, folder: str | None = None, **kw) -> DataFrame:
@@ -253,6 +254,7 @@ def round_trip(pages: DataFrame, folder: str | None = None, **kw) -> DataFrame:
     records = cut(read_archives(write_archives(pages, folder, **kw), folder))
     responses = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_record"), "payload_digest").agg(F.max("stored_bytes").alias("payload_bytes"))
     revisits = records.where("record_type = 'revisit'").join(responses, ["refers_to_record", "payload_digest"], "left")
-    out = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    kind = pages.schema[kw.get("id_col", "page_id")].dataType
+    out = [F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to")]
     alone = records.where("record_type <> 'revisit'").withColumn("payload_bytes", F.col("stored_bytes"))
     return alone.select(*out).unionByName(revisits.select(*out))

@@ -194,6 +194,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_warc_identifiers_stay_exact(spark):
+    big = 1 << 60
+    rows = [(big + 1, "same"), (big + 2, "same"), (big + 3, "other"), (None, "same"), (None, None), (-big, "alone")]
+    got = {(r.page_id, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame([(i, "u", t) for i, t in rows], "page_id bigint, url string, html string")).collect()}
+    assert got == {(big + 1, "revisit", big + 2), (big + 2, "response", None), (None, "revisit", big + 2), (big + 3, "response", None), (None, "response", None), (-big, "response", None)}
+    named = spark.createDataFrame([("a b\r\nö%", "x", "t"), ("z", "x", "t")], "page_id string, url string, html string")
+    assert {(r.page_id, r.refers_to) for r in warc.round_trip(named).collect()} == {("a b\r\nö%", "z"), ("z", None)}
+
+
 def test_warc_reader_rejects_damage():
     def packed(raw):
         z = zlib.compressobj(6, zlib.DEFLATED, 31)
