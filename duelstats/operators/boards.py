@@ -10,7 +10,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from duelstats.functions import decks, outcomes, ranks
-from duelstats.functions.text import sample_date
+from duelstats.functions.text import sample_date, strip
 from duelstats.operators.ranking import ranked, top
 from duelstats.operators.samples import board_scopes
 from duelstats.operators.stats import COUNTS, result_counts
@@ -47,10 +47,10 @@ def deck_counts(samples: DataFrame) -> DataFrame:
     return added(board_scopes(by_class), "rank_scope", "deck_fingerprint")
 
 
-def card_counts(deck_rows: DataFrame) -> DataFrame:
-    """Counts per (rank_scope, card) from the deck counts."""
+def card_counts(deck_rows: DataFrame, *keys: str) -> DataFrame:
+    """Counts per (rank_scope, card), and further keys, from the deck counts."""
     cards = decks.distinct_cards(decks.cards_of(F.col("deck_fingerprint")))
-    return added(deck_rows.withColumn("card_hash", F.explode(cards)), "rank_scope", "card_hash")
+    return added(deck_rows.withColumn("card_hash", F.explode(cards)), *keys, "rank_scope", "card_hash")
 
 
 def board_order(key: str) -> list[Column]:
@@ -92,7 +92,7 @@ def facets(samples: DataFrame, anchor: str = "") -> DataFrame:
     item = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
     parts = F.concat(
         F.array(
-            item("player", F.trim("player_name")),
+            item("player", strip(F.col("player_name"))),
             item("weapon", F.col("weapon")),
             item("style", F.col("style")),
             item("date", day),
@@ -214,7 +214,7 @@ def deck_recent(samples: DataFrame) -> DataFrame:
     """Latest samples per (rank_scope, deck): first per disjoint class, then per scope."""
     lean = keyed(samples).select(
         "deck_fingerprint", "order_class", "result", F.coalesce("played_at", F.lit("")).alias("played_at"),
-        F.trim(F.coalesce("player_name", F.lit(""))).alias("player_name"),
+        strip(F.coalesce("player_name", F.lit(""))).alias("player_name"),
         F.coalesce("weapon", F.lit("")).alias("weapon"), F.coalesce("style", F.lit("")).alias("style"), "match_id", "side_index",
     )
     by_class = recent(lean, ["deck_fingerprint", "order_class"])

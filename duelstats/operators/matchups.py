@@ -38,7 +38,11 @@ def pairs(bouts: DataFrame) -> DataFrame:
 def cells(pair_rows: DataFrame) -> DataFrame:
     """Counts per (rank_scope, row deck, column deck); the scope is the row side's."""
     by_class = pair_rows.groupBy("row_fingerprint", "column_fingerprint", "order_class").agg(*result_counts(F.col("result")))
-    counted = added(board_scopes(by_class), "rank_scope", "row_fingerprint", "column_fingerprint")
+    return toned(added(board_scopes(by_class), "rank_scope", "row_fingerprint", "column_fingerprint"))
+
+
+def toned(counted: DataFrame) -> DataFrame:
+    """Counted cells with their rate, whether they are shown, and their tone."""
     rate = outcomes.win_rate(F.col("win_count"), F.col("loss_count"))
     seen = (F.col("sample_count") >= MATRIX_FLOOR) & F.col("win_rate").isNotNull()
     return (

@@ -1,7 +1,8 @@
 """Entity resolution of sightings and the field rules that merge them into one match.
 
 Every rule is an aggregate over arrival order (``seq``, any orderable value), so an often-sighted match combines on
-the map side instead of being listed anywhere.
+the map side instead of being listed anywhere. A match's *state* keeps the winner of every rule with its place in that
+order, so states of parts of the sightings, in whatever order they come, add up to the state of all of them.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from duelstats.functions import decks, links, loadout, ranks
 from duelstats.functions.markup import let
 from duelstats.functions.text import coerce_number
 from duelstats.operators.components import components
+from duelstats.schemas import PLAYER
 
 DETAIL_PAGE = "/members/history/detail"
 
@@ -40,15 +42,23 @@ def resolve(sightings: DataFrame) -> DataFrame:
 
     A sighting without any alias stays alone under the hash of its content.
     """
-    named = with_aliases(sightings)
+    named = named_alone(sightings)
     both = named.where(F.col("replay_alias").isNotNull() & F.col("detail_alias").isNotNull())
     labels = components(both.select(F.col("replay_alias").alias("a"), F.col("detail_alias").alias("b")))
+    return labelled(named, labels.select(F.col("node").alias("alias"), F.col("component").alias("entity")))
+
+
+def named_alone(sightings: DataFrame, *apart: str) -> DataFrame:
+    """``with_aliases`` and the name that a sighting without aliases goes by: its content but for the columns ``apart``."""
+    content = F.to_json(F.struct(*[c for c in sightings.columns if c not in ("seq", *apart)]))
+    return with_aliases(sightings.withColumn("alone", F.concat(F.lit("x:"), F.sha2(content, 256))))
+
+
+def labelled(named: DataFrame, labels: DataFrame) -> DataFrame:
+    """Add ``entity`` by the labels (alias, entity) of aliases; an alias without label is its own."""
     key = F.coalesce("replay_alias", "detail_alias")
-    content = F.to_json(F.struct(*[c for c in sightings.columns if c != "seq"]))
-    keyed = named.withColumn("_alias", key)
-    joined = keyed.join(labels, keyed["_alias"] == labels["node"], "left").drop("node", "_alias")
-    alone = F.concat(F.lit("x:"), F.sha2(content, 256))
-    return joined.withColumn("entity", F.coalesce("component", "replay_alias", "detail_alias", alone)).drop("component")
+    joined = named.withColumn("_alias", key).join(labels.select(F.col("alias").alias("_alias"), F.col("entity").alias("_label")), "_alias", "left")
+    return joined.withColumn("entity", F.coalesce("_label", "_alias", "alone")).drop("_label", "_alias", "alone")
 
 
 def aliases(resolved: DataFrame) -> DataFrame:
@@ -64,73 +74,101 @@ def last_where(value: Column, test: Column) -> Column:
     return F.max_by(value, F.when(test, F.col("seq")))
 
 
-def first_where(value: Column, test: Column) -> Column:
-    return F.min_by(value, F.when(test, F.col("seq")))
-
-
 def last_filled(value: Column) -> Column:
     return last_where(value, filled(value))
 
 
-def merged(resolved: DataFrame, stream_template: str = "{id}", detail_page: str = DETAIL_PAGE) -> DataFrame:
-    """One row per entity.
-
-    Full sources: the last non-empty value of each field wins, the last record brings sides, decks and summary. Light
-    sources (replay search) fill gaps only; their summary counts if it carries castle rows or a timeline. A replay
-    id once known stays. Without full sources the address of a detail page is preferred over other addresses.
-    """
+def _rules(stream_template: str, detail_page: str) -> list[tuple[str, bool, Column, Column]]:
+    """(name, whether the last one wins, value, test) of every rule that a state keeps a winner of."""
     col, light = F.col, F.col("light")
     full = ~light
     told = F.coalesce(F.nullif(links.played_at_of(col("detail_t")), F.lit("")), col("played_at"))
     stream = F.when(filled("m3u8_url"), col("m3u8_url")).otherwise(links.stream_url(col("replay_id"), stream_template))
     source = F.when(filled("source_url"), col("source_url")).otherwise(col("detail_url"))
-    known = filled("result") & (col("result") != "unknown")
     detailed = (F.size("castle_rows") > 0) | ~F.coalesce(col("timeline_data"), F.lit("{}")).isin("", "{}", "null")
     people = F.struct("players", "result", "light")
     summary = F.struct("title", "detail_error", "castle_title", "castle_rows", "timeline_labels", "timeline_data")
-
-    def gap(value: Column) -> Column:
-        return F.coalesce(last_where(value, full & filled(value)), first_where(value, light & filled(value)))
-
     is_page = F.coalesce(col("detail_url"), F.lit("")).contains(detail_page)
     has_url = filled("detail_url")
     other_url = F.when(filled("play_url"), col("play_url")).otherwise(col("source_url"))
-    address = F.coalesce(
-        last_where(col("detail_url"), full & has_url),
-        first_where(col("detail_url"), light & is_page),
-        last_where(col("detail_url"), light & has_url),
+    last, first = True, False
+    return [
+        *[(c, last, col(c), filled(c)) for c in ("replay_id", "detail_t", "follow_id", "mode", "version", "play_url")],
+        ("m3u8_url", last, stream, filled(stream)),
+        ("result", last, col("result"), filled("result") & (col("result") != "unknown")),
+        ("played_at", last, told, full & filled(told)),
+        ("played_at_light", first, told, light & filled(told)),
+        ("source_url", last, source, full & filled(source)),
+        ("source_url_light", first, source, light & filled(source)),
+        ("address", last, col("detail_url"), full & has_url),
+        ("address_page", first, col("detail_url"), light & is_page),
+        ("address_light", last, col("detail_url"), light & has_url),
         # without any, the address under which the match was first seen
-        first_where(other_url, filled(other_url)),
-    )
-    has_people = F.size("players") > 0
-    out = resolved.groupBy("entity").agg(
-        last_filled(col("replay_id")).alias("replay_id"),
-        last_filled(col("detail_t")).alias("detail_t"),
-        last_filled(col("follow_id")).alias("primary_follow_id"),
-        gap(told).alias("played_at"),
-        last_filled(col("mode")).alias("mode"),
-        last_filled(col("version")).alias("version"),
-        F.coalesce(last_where(col("result"), known), F.lit("unknown")).alias("result"),
-        address.alias("detail_url"),
-        last_filled(col("play_url")).alias("play_url"),
-        last_filled(stream).alias("m3u8_url"),
-        gap(source).alias("source_url"),
-        F.coalesce(last_where(people, full & has_people), first_where(people, light & has_people)).alias("_people"),
-        F.coalesce(last_where(summary, full | detailed), first_where(summary, light)).alias("_summary"),
-        F.count(F.lit(1)).alias("sightings"),
+        ("address_other", first, other_url, filled(other_url)),
+        ("people", last, people, full),
+        ("people_light", first, people, light & (F.size("players") > 0)),
+        ("summary", last, summary, full | detailed),
+        ("summary_light", first, summary, light),
+    ]
+
+
+def states(resolved: DataFrame, stream_template: str = "{id}", detail_page: str = DETAIL_PAGE) -> DataFrame:
+    """One row per entity: (entity, winners, sightings); a winner is a (seq, value)."""
+
+    def winner(name: str, last: bool, value: Column, test: Column) -> Column:
+        entry, place = F.struct(F.col("seq").alias("seq"), value.alias("value")), F.when(test, F.col("seq"))
+        return (F.max_by(entry, place) if last else F.min_by(entry, place)).alias(name)
+
+    return resolved.groupBy("entity").agg(*[winner(*rule) for rule in _rules(stream_template, detail_page)], F.count(F.lit(1)).alias("sightings"))
+
+
+def combined(parts: DataFrame) -> DataFrame:
+    """States of the same entities added up."""
+    winners = [(name, F.max_by if last else F.min_by) for name, last, *_ in _rules("{id}", DETAIL_PAGE)]
+    return parts.groupBy("entity").agg(*[by(F.col(n), F.col(f"{n}.seq")).alias(n) for n, by in winners], F.sum("sightings").alias("sightings"))
+
+
+def finished(state: DataFrame) -> DataFrame:
+    """Matches out of their states, one row per entity.
+
+    Full sources: the last non-empty value of each field wins, the last record brings sides and decks, even if it has none,
+    and the summary. Light sources (replay search) fill gaps only: their sides and decks count where no full source told of the
+    match, their summary also if it carries castle rows or a timeline. A replay id once known stays. Without full sources
+    the address of a detail page is preferred over other addresses.
+    """
+    won = lambda *names: F.coalesce(*[F.col(f"{n}.value") for n in names])
+    out = state.select(
+        "entity",
+        *[won(c).alias(c) for c in ("replay_id", "detail_t")],
+        won("follow_id").alias("primary_follow_id"),
+        won("played_at", "played_at_light").alias("played_at"),
+        *[won(c).alias(c) for c in ("mode", "version")],
+        F.coalesce(won("result"), F.lit("unknown")).alias("result"),
+        won("address", "address_page", "address_light", "address_other").alias("detail_url"),
+        *[won(c).alias(c) for c in ("play_url", "m3u8_url")],
+        won("source_url", "source_url_light").alias("source_url"),
+        won("people", "people_light").alias("_people"),
+        won("summary", "summary_light").alias("_summary"),
+        "sightings",
+        *[c for c in state.columns if c == "bucket"],
     )
-    public = links.public_id(col("replay_id"), col("primary_follow_id"), col("detail_t"))
+    public = links.public_id(F.col("replay_id"), F.col("primary_follow_id"), F.col("detail_t"))
     nameless = ~filled("replay_id") & ~(filled("primary_follow_id") & filled("detail_t"))
     return out.select(
         "entity",
-        F.when(nameless, F.concat(F.lit("d:unknown:"), F.substring(F.sha2(col("entity"), 256), 1, 16))).otherwise(public).alias("public_id"),
+        F.when(nameless, F.concat(F.lit("d:unknown:"), F.substring(F.sha2(F.col("entity"), 256), 1, 16))).otherwise(public).alias("public_id"),
         F.when(filled("replay_id"), "replay").otherwise("detail_only").alias("id_state"),
         *[c for c in out.columns if c not in ("entity", "_people", "_summary")],
-        col("_people.players").alias("players"),
+        F.col("_people.players").alias("players"),
         "_summary.*",
     )
 
 
+def merged(resolved: DataFrame, stream_template: str = "{id}", detail_page: str = DETAIL_PAGE) -> DataFrame:
+    """One row per entity out of its sightings (see ``finished``)."""
+    return finished(states(resolved, stream_template, detail_page))
+
+
 def typed_sides(matches: DataFrame) -> DataFrame:
     """Merged matches as bouts: the pockets of every side become typed columns, its card list becomes its deck."""
 
@@ -195,14 +233,15 @@ def new_uploads(uploads: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def complete_detail() -> Column:
-    """Whether a bout is told in full: version, result, sides that all have decks, some rate and some profile."""
-    sides = F.col("sides")
+    """Whether a merged match is told in full: version, result, sides that all have decks, some rate and some profile."""
+    players = F.coalesce("players", F.array().cast(f"array<{PLAYER}>"))
     return (
         filled("version")
         & ~F.coalesce("result", F.lit("unknown")).isin("", "unknown")
-        & (F.size(sides) > 0)
-        & F.forall(sides, lambda s: F.coalesce(s["deck_fingerprint"], F.lit("")) != "")
-        & F.exists(sides, lambda s: F.coalesce(s["castle_rate"], F.lit("")) != "")
+        & (F.size(players) > 0)
+        & F.forall(players, lambda p: F.exists(F.coalesce(p["deck_ids"], F.array().cast("array<string>")), lambda c: F.coalesce(c, F.lit("")) != ""))
+        & F.exists(players, lambda p: F.coalesce(p["castle_rate"], F.lit("")) != "")
+        & F.exists(players, lambda p: ~F.coalesce(p["profile"], F.lit("")).isin("", "{}", "null"))
     )
 
 

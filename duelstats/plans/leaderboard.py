@@ -7,11 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelstats.functions import decks
-from duelstats.operators import boards, clustering, matchups, samples
+from duelstats.functions.text import strip
+from duelstats.operators import boards, clustering, facts, matchups, samples
 from duelstats.operators.ranking import page, ranked
 from duelstats.params import PAYLOAD_VERSION, SIMILAR_COST, JobConfig, page_limit, rank_scope_name, row_type_name
 from duelstats.plans.analysis import cards_by_cost, labelled
-from duelstats.session import cut
+from duelstats.session import cut, read_if_there
 
 KEYS = ["rank_scope", "deck_fingerprint"]
 CLUSTER = ["rank_scope", "representative"]
@@ -49,8 +50,8 @@ def first_names(side_rows: DataFrame) -> DataFrame:
 
     ``side_rows`` carry (played_at, match_id, side_index, slot, card_hash, raw_name).
     """
-    named = side_rows.where((F.coalesce("card_hash", F.lit("")) != "") & (F.trim(F.coalesce("raw_name", F.lit(""))) != ""))
-    first = F.min_by(F.trim("raw_name"), F.struct(F.coalesce("played_at", F.lit("")), "match_id", "side_index", "slot"))
+    named = side_rows.where((F.coalesce("card_hash", F.lit("")) != "") & (strip(F.coalesce("raw_name", F.lit(""))) != ""))
+    first = F.min_by(strip(F.col("raw_name")), F.struct(F.coalesce("played_at", F.lit("")), "match_id", "side_index", "slot"))
     return named.groupBy("card_hash").agg(first.alias("seen_name"))
 
 
@@ -63,16 +64,19 @@ def with_seen_names(card_dim: DataFrame, seen: DataFrame) -> DataFrame:
 
 
 def build(bouts: DataFrame, cfg: JobConfig, card_dim: DataFrame) -> Boards:
-    """All boards of one version and window.
+    """All boards of one version and window, in two passes over the bouts: their facts and the latest samples."""
+    scoped = samples.in_scope(bouts, cfg)
+    return build_of(facts.daily(scoped, every_day=False), boards.deck_recent(samples.side_samples(scoped)), cfg, card_dim)
+
 
-    The samples are read for the counts, the facets and the latest samples; each is summed up before it is cut, and
-    decks, cards and archetypes are all derived from these three small tables.
+def build_of(counted: DataFrame, recent: DataFrame, cfg: JobConfig, card_dim: DataFrame) -> Boards:
+    """All boards out of facts (``operators.facts``, of the window already) and latest samples.
+
+    Decks, cards, archetypes, trends, cells and totals are all added up from the facts; the bouts are not needed any more.
     """
-    scoped = samples.in_scope(bouts, cfg)
-    rows = samples.side_samples(scoped)
-    counts = cut(boards.deck_counts(rows))
-    facets = cut(boards.facets(rows, cfg.trend_anchor))
-    latest = cut(boards.deck_recent(rows))
+    counted, latest = cut(counted), cut(recent)
+    counts = cut(facts.deck_counts(counted))
+    facets = cut(facts.facets(counted, cfg.trend_anchor))
     numbered = cut(ranked_decks(counts))
     members = cut(archetype_members(numbered, card_dim, cfg.similar_cost))
 
@@ -85,15 +89,14 @@ def build(bouts: DataFrame, cfg: JobConfig, card_dim: DataFrame) -> Boards:
     cluster_latest = boards.regrouped_recent(latest, link)
     clusters = boards.profile(archetype_board(cluster_counts), cluster_facets, cluster_latest, "representative", cfg.trend_anchor)
     axis = cut(matchups.axis(counts))
-    cells = matchups.cells(matchups.pairs(scoped))
     return Boards(
         decks=cards_by_cost(deck_rows, card_dim),
         cards=labelled(card_rows, card_dim),
         archetypes=describe(clusters, members, card_dim, cfg.similar_cost),
         members=members,
         axis=axis,
-        matrix=matchups.matrix(axis, cells),
-        totals=boards.scope_totals(rows),
+        matrix=matchups.matrix(axis, facts.cells(counted)),
+        totals=facts.scope_totals(counted),
     )
 
 
@@ -183,7 +186,7 @@ def superseded(runs: DataFrame, keep: DataFrame) -> DataFrame:
 def available_versions(runs: DataFrame, current: str) -> DataFrame:
     ready = runs.where((F.col("scope") == "public") & (F.col("payload_version") == PAYLOAD_VERSION) & (F.col("status") == "ready"))
     one = runs.sparkSession.range(1).select(F.lit(current).alias("target_version"))
-    names = ready.select(F.trim("target_version").alias("target_version")).unionByName(one)
+    names = ready.select(strip(F.col("target_version")).alias("target_version")).unionByName(one)
     return names.where(F.col("target_version") != "").distinct().orderBy(F.col("target_version").desc())
 
 
@@ -242,8 +245,7 @@ def personal_board(bouts: DataFrame, match_ids: DataFrame, cfg: JobConfig, rank_
 def remembered(spark: SparkSession, root: str, key: str, compute) -> DataFrame:
     """Persisted result of a request: computed once per key (see ``params.memo_key``), then read."""
     path = f"{root}/{key.replace(':', '_')}"
-    jvm = spark.sparkContext._jvm
-    marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not marker.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marker):
-        compute().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    if read_if_there(spark, f"{path}/done") is None:  # written after the rows, so that half a result doesn't count
+        compute().write.mode("overwrite").parquet(f"{path}/rows")
+        spark.range(1).write.mode("overwrite").parquet(f"{path}/done")
+    return spark.read.parquet(f"{path}/rows")

@@ -6,7 +6,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from duelstats.operators import boards, clustering, matchups, samples
+from duelstats.operators import boards, clustering, facts, matchups, samples
 from duelstats.operators.ranking import page, ranked
 from duelstats.plans import leaderboard as jobs
 from duelstats.queries.analysis import CLUSTER_SQL, CORE_SQL
@@ -414,17 +414,49 @@ def job6(spark, d):
     return matchups.matrix_totals(matchups.cells(matchups.pairs(_scoped(spark, d))))
 
 
-@query("job8_behaviour_profile")
+# what a profile shows of an entity: {entity} of the rows of {rows}
+PROFILE_SQL = """,
+shown AS (SELECT *, {entity} AS entity FROM {rows}),
+whole AS (SELECT rank_scope, entity, count(*) AS sample_count FROM shown GROUP BY 1, 2),
+person AS (SELECT rank_scope, entity, player_name, count(*) AS n, row_number() OVER (PARTITION BY rank_scope, entity ORDER BY count(*) DESC, player_name) AS k FROM shown GROUP BY 1, 2, 3),
+crowd AS (SELECT rank_scope, entity, count(*) AS player_count, arg_min(player_name, k) AS top_player, sum(n) FILTER (WHERE k <= 3) AS top3 FROM person GROUP BY 1, 2),
+trait AS (
+  SELECT rank_scope, entity, least(count(DISTINCT weapon), 4) AS weapons, count(*) FILTER (WHERE date_diff('day', CAST(substr(played_at, 1, 10) AS DATE), DATE '2001-07-31') BETWEEN 0 AND 6) AS last_7d,
+    least(count(*), 30) AS points FROM shown GROUP BY 1, 2),
+spirit AS (SELECT rank_scope, entity, least(count(DISTINCT soul), 3) AS souls FROM shown JOIN (SELECT DISTINCT order_key, soul FROM line WHERE soul IS NOT NULL) USING (order_key) GROUP BY 1, 2),
+profile AS (
+  SELECT rank_scope, entity, sample_count, top_player, CAST(nullif(weapons, 0) AS INT) AS weapons, CAST(souls AS INT) AS souls, last_7d, CAST(points AS INT) AS points,
+    CASE WHEN sample_count >= 500 AND player_count >= 30 AND top3 < 0.5 * sample_count THEN 'high'
+         WHEN sample_count >= 200 AND player_count >= 15 AND top3 < 0.7 * sample_count THEN 'medium' ELSE 'low' END AS label
+  FROM whole JOIN crowd USING (rank_scope, entity) JOIN trait USING (rank_scope, entity) LEFT JOIN spirit USING (rank_scope, entity))
+"""
+
+
+@query("job8_behaviour_profile", BOARD + PROFILE_SQL.format(entity="deck_fingerprint", rows="board") + "SELECT * RENAME (entity AS deck_fingerprint) FROM profile")
 def job8(spark, d):
-    rows = samples.side_samples(samples.in_scope(cut(ct.bouts(spark, d)), CFG))
-    counts = cut(boards.scored(boards.deck_counts(rows)))
-    built = boards.profile(counts, cut(boards.facets(rows, CFG.anchor)), boards.deck_recent(rows), DECK, CFG.anchor)
+    scoped = _scoped(spark, d)
+    counted = cut(facts.daily(scoped, every_day=False))
+    counts = cut(boards.scored(facts.deck_counts(counted)))
+    built = boards.profile(counts, cut(facts.facets(counted, CFG.anchor)), boards.deck_recent(samples.side_samples(scoped)), DECK, CFG.anchor)
     return built.select(
         *KEYS, "sample_count", "top_player", F.size("weapons").alias("weapons"), F.size("souls").alias("souls"),
         F.col("trend.last_7d_sample_count").alias("last_7d"), F.size("last_30_points").alias("points"), F.col("credibility.label").alias("label"),
     )
 
 
+@query(
+    "ag19_totals_of_facts",
+    BOARD + "SELECT rank_scope, count(DISTINCT match_id) AS match_count, count(*) AS side_sample_count FROM board GROUP BY 1",
+)
+def ag19_facts(spark, d):
+    return facts.scope_totals(facts.daily(_scoped(spark, d)))
+
+
+@query("ag9_cells_of_facts", CELLS_SQL + "SELECT * FROM cell")
+def ag9_facts(spark, d):
+    return facts.cells(facts.daily(_scoped(spark, d), every_day=False))
+
+
 @query(
     "job4_leaderboard",
     DECKS_SQL.replace("FROM sample s,", "FROM sample s WHERE_VERSION,").replace(
@@ -440,10 +472,33 @@ def job4(spark, d):
     return deck_rows.unionByName(built.cards.withColumnRenamed("card_hash", "entity").select(F.lit("card").alias("row_type"), *names))
 
 
-@query("job4_archetypes")
+IN_V1999 = ("FROM sample s,", "FROM (SELECT * FROM sample WHERE version = 'V1999') s,")
+
+
+@query(
+    "job4_archetypes",
+    BOARD_CLUSTERS.replace(*IN_V1999)
+    + BOARD_CORE_SQL.rstrip()
+    + PROFILE_SQL.format(entity="leader", rows="(SELECT b.*, leader FROM board b JOIN (SELECT rank_scope, deck_fingerprint, leader FROM member) USING (rank_scope, deck_fingerprint))")
+    + f""", rolled AS (
+  SELECT rank_scope, leader, arg_min(deck_fingerprint, r) AS representative, count(*) AS member_count, CAST(sum(sample_count) AS BIGINT) AS sample_count,
+    CAST(sum(win_count) AS BIGINT) AS win_count, CAST(sum(loss_count) AS BIGINT) AS loss_count FROM member GROUP BY 1, 2),
+placed_cluster AS (SELECT *, {win_rate_sql()} AS win_rate, row_number() OVER (PARTITION BY rank_scope ORDER BY {ORDER}, representative DESC) AS rank FROM rolled),
+titled AS (SELECT rank_scope, leader, string_agg(card, ' / ' ORDER BY place) FILTER (WHERE place <= 3) || ' 系' AS title, string_agg(card, ',' ORDER BY place) AS core
+  FROM core WHERE place <= 5 AND spent < 5.0 GROUP BY 1, 2),
+firsts AS (SELECT rank_scope, leader, string_agg(deck_fingerprint, ';' ORDER BY r) AS member_decks
+  FROM (SELECT *, row_number() OVER (PARTITION BY rank_scope, leader ORDER BY r) AS k FROM member) WHERE k <= 8 GROUP BY 1, 2)
+SELECT c.rank_scope, rank, substr(sha256('archetype:' || representative), 1, 16) AS archetype_id, representative, title, core, member_decks, member_count, c.sample_count, win_rate, top_player,
+  weapons, souls, last_7d, points, label
+FROM placed_cluster c JOIN titled USING (rank_scope, leader) JOIN firsts USING (rank_scope, leader) JOIN profile p ON p.rank_scope = c.rank_scope AND p.entity = c.leader""",
+)
 def job4_archetypes(spark, d):
-    built = jobs.build(cut(ct.bouts(spark, d)), V1999, ct.card_dim(spark))
-    return built.archetypes.select("rank_scope", "rank", "archetype_id", "title", "member_count", "sample_count", "win_rate", "top_player")
+    built = jobs.build(cut(ct.bouts(spark, d)), V1999, ct.card_dim(spark)).archetypes
+    return built.select(
+        "rank_scope", "rank", "archetype_id", "representative", "title", F.array_join("core_cards.card_hash", ",").alias("core"), F.array_join("member_decks.deck_fingerprint", ";").alias("member_decks"),
+        "member_count", "sample_count", "win_rate", "top_player", F.size("weapons").alias("weapons"), F.size("souls").alias("souls"),
+        F.col("trend.last_7d_sample_count").alias("last_7d"), F.size("last_30_points").alias("points"), F.col("credibility.label").alias("label"),
+    )
 
 
 @query(

@@ -175,7 +175,7 @@ def _card_table(spark, d):
 
 CARD_SQL = """WITH c AS (SELECT p_partkey AS k, 'c' || p_partkey AS card_code, p_name AS name, p_type AS unit_type, CASE WHEN p_partkey % 2 = 0 THEN p_size / 2.0 ELSE p_size * 10.0 END::DOUBLE AS cost FROM part),
 h AS (SELECT 's' || k AS card_hash, * FROM c UNION ALL SELECT 'f' || (k % 500), * FROM c UNION ALL SELECT 'c' || k, * FROM c),
-dim AS (SELECT card_hash, arg_max((card_code, name, unit_type, cost, k), card_code) AS r FROM h GROUP BY 1)
+dim AS (SELECT card_hash, arg_max((card_code, name, unit_type, cost, k), k) AS r FROM h GROUP BY 1)
 """
 
 
@@ -186,19 +186,11 @@ def rs7(spark, d):
 
 @query(
     "set1_overlay",
-    CARD_SQL + "SELECT card_hash, CASE WHEN r[5] % 3 = 0 THEN upper(r[2]) ELSE r[2] END AS name FROM dim WHERE card_hash NOT LIKE 'f%'",
-)
-def set1(spark, d):
-    return set1_all(spark, d).where(~F.col("card_hash").startswith("f"))
-
-
-@query(
-    "set1_overlay_all",
     CARD_SQL
-    + """, newer AS (SELECT card_hash, arg_max(upper(name), card_code) AS new_name FROM h WHERE k % 3 = 0 GROUP BY 1)
+    + """, newer AS (SELECT card_hash, arg_max(upper(name), k) AS new_name FROM h WHERE k % 3 = 0 GROUP BY 1)
 SELECT card_hash, coalesce(new_name, r[2]) AS name FROM dim LEFT JOIN newer USING (card_hash)""",
 )
-def set1_all(spark, d):
+def set1(spark, d):
     table = _card_table(spark, d)
     base = catalog.by_hash(catalog.from_table(table))
     newer = table.where(F.substring("card_code", 2, 20).cast("int") % 3 == 0).withColumn("name", F.upper("name"))

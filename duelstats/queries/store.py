@@ -56,7 +56,7 @@ m AS (
     coalesce(arg_max(detail_url, k) FILTER (WHERE NOT light AND detail_url <> ''), arg_min(detail_url, k) FILTER (WHERE light AND detail_url <> ''),
       arg_min('https://site.example/members/enbujyo/play?p=' || replay_id, k) FILTER (WHERE replay_id <> '')) AS detail_url,
     coalesce(arg_max('t' || k, k) FILTER (WHERE NOT light OR k % 3 = 1), arg_min('t' || k, k) FILTER (WHERE light)) AS title,
-    coalesce(arg_max(player_name, k) FILTER (WHERE NOT light AND k % 11 <> 0), arg_min(player_name, k) FILTER (WHERE light AND k % 11 <> 0)) AS player_name
+    coalesce(arg_max(CASE WHEN k % 11 <> 0 THEN player_name ELSE '' END, k) FILTER (WHERE NOT light), arg_min(player_name, k) FILTER (WHERE light AND k % 11 <> 0)) AS player_name
   FROM res GROUP BY 1)
 """
 )
@@ -247,7 +247,7 @@ FROM header JOIN side USING (match_id) WHERE side_index = 1 AND mode <> '5-LOW'
 )
 def job10(spark, d):
     path, _ = _written(spark, d)
-    seen = packages.inspect(packages.read_lines(spark, path, "*.txt"))
+    seen = packages.inspect(packages.read_lines(spark, path))
     fine = seen.where((F.col("reason") == "") & (F.col("records") == F.col("match_count")))
     return fine.select("contributor_id", "target_version", "match_count")
 
@@ -260,7 +260,7 @@ FROM header JOIN side USING (match_id) WHERE side_index = 1 AND mode <> '5-LOW'
 )
 def src1(spark, d):
     path, _ = _written(spark, d)
-    lines = packages.read_lines(spark, path, "*.txt")
+    lines = packages.read_lines(spark, path)
     name = F.concat_ws("/", F.regexp_extract("path", "contributor_id=([^/]+)", 1), F.regexp_extract("path", "target_version=([^/]+)", 1))
     return lines.groupBy(name.alias("package")).agg(F.count(F.lit(1)).alias("lines"), F.min("line").alias("first_line"), F.max("line").alias("last_line"))
 
@@ -269,7 +269,7 @@ def src1(spark, d):
 def job11(spark, d):
     path, _ = _written(spark, d)
     store = jobs.Store(spark, scratch_path(spark, "store"))
-    store.add(packages.read_lines(spark, path, "*.txt"), 1)
+    store.add(packages.read_lines(spark, path), 1)
     rows = samples.known_samples(samples.side_samples(samples.in_scope(cut(store.bouts()), CFG)))
     base = stats.base_stats(stats.deck_stats(rows, CFG))
     return base.select("deck_fingerprint", "sample_count", "win_count", "wilson_lower_bound", "avg_kill_count")
@@ -285,7 +285,7 @@ UNION ALL SELECT 2, n, 0, n, 0, 0 FROM p""",
 def ag24(spark, d):
     path, _ = _written(spark, d)
     store = jobs.Store(spark, scratch_path(spark, "store"))
-    lines = packages.read_lines(spark, path, "*.txt")
+    lines = packages.read_lines(spark, path)
     once = cut(jobs.import_summary(store.add(lines, 1)).withColumn("batch", F.lit(1)))
     return once.unionByName(jobs.import_summary(store.add(lines, 2)).withColumn("batch", F.lit(2)))
 
@@ -299,7 +299,7 @@ FROM header JOIN side USING (match_id) WHERE side_index = 1 AND mode <> '5-LOW'"
 def up8(spark, d):
     path, _ = _written(spark, d)
     store = jobs.Store(spark, scratch_path(spark, "store"))
-    store.add(packages.read_lines(spark, path, "*.txt"), 1)
+    store.add(packages.read_lines(spark, path), 1)
     return store.bridge().select("public_id", "replay_id", F.concat_ws(":", F.split("package_id", ":")[0], F.split("package_id", ":")[1]).alias("package"))
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from duelstats.functions import decks
 from duelstats.functions.ranks import first_text
+from duelstats.functions.text import strip
 
 # Names under which catalogs keep a card's hashes, pictures and facts.
 HASH_KEYS = ("hash_id", "hashId", "card_hash", "cardHash", "code", "card_small_code", "cardSmallCode")
@@ -25,7 +27,7 @@ EMPTY_MAP = "map<string,string>"
 
 
 def _variant_text(v: Column, *keys: str) -> Column:
-    return first_text(*[F.trim(F.try_variant_get(v, f"$.{k}", "string")) for k in keys])
+    return first_text(*[strip(F.try_variant_get(v, f"$.{k}", "string")) for k in keys])
 
 
 def _variant_map(v: Column, *keys: str) -> Column:
@@ -36,7 +38,7 @@ def _variant_map(v: Column, *keys: str) -> Column:
 
 
 def _shaped(rows: DataFrame, hashes: Column, code: Column, name: Column, costs: list[Column], facts: dict[str, Column], keys: Column, urls: Column, own_url: Column) -> DataFrame:
-    texts = F.array_distinct(F.filter(F.transform(hashes, lambda h: F.trim(h)), lambda h: h.isNotNull() & (h != "")))
+    texts = F.array_distinct(F.filter(F.transform(hashes, strip), lambda h: h.isNotNull() & (h != "")))
     pick = lambda m, names: first_text(*[m[n] for n in names])
     url = first_text(pick(urls, PICTURE_KEYS), F.get(F.map_values(urls), F.lit(0)), own_url)
     return rows.select(
@@ -72,7 +74,7 @@ def read_base(spark: SparkSession, path: str) -> DataFrame:
     doc = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
     rows = doc.select("d", F.posexplode("d.general").alias("seq", "text")).withColumn("r", F.split("text", ",")).where(F.size("r") >= 16)
     field = lambda i: F.get("r", F.lit(i))
-    number = lambda i: F.trim(field(i)).try_cast("int")
+    number = lambda i: strip(field(i)).try_cast("int")
 
     def told(table: str, i: int) -> Column:
         parts = F.split(F.get(F.col(f"d.{table}"), F.when(number(i) >= 0, number(i))), ",")
@@ -87,10 +89,21 @@ def read_base(spark: SparkSession, path: str) -> DataFrame:
     return _shaped(rows, F.array(field(0), field(1), field(2)), code, field(3), [told("cost", 13)], facts, keys, empty, F.lit(""))
 
 
+def _in_load_order(table: DataFrame) -> DataFrame:
+    """``table`` with the place it was loaded from as ``seq``: file and row where files tell them, else the order of reading."""
+    try:
+        return table.withColumn("seq", F.struct(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+    except AnalysisException as e:
+        if not e.getCondition().startswith(("UNRESOLVED_COLUMN", "FIELD_NOT_FOUND")):
+            raise
+    return table.withColumn("seq", F.struct(F.lit("").alias("file_path"), F.monotonically_increasing_id().alias("row_index")))
+
+
 def from_table(table: DataFrame) -> DataFrame:
-    """Card table of a database (any DataFrame, for instance a JDBC read); absent columns count as empty."""
-    have = {c: F.trim(F.col(c).cast("string")) if c in table.columns else F.lit("") for c in TABLE_COLUMNS}
-    rows = table.withColumn("seq", F.lit(0))
+    """Card table of a database (any DataFrame, for instance a JDBC read); absent columns count as empty. Of rows that share a
+    hash the one loaded last counts."""
+    have = {c: strip(F.col(c).cast("string")) if c in table.columns else F.lit("") for c in TABLE_COLUMNS}
+    rows = _in_load_order(table)
     keys = F.coalesce(F.from_json(have["image_keys_json"], EMPTY_MAP), F.create_map().cast(EMPTY_MAP))
     urls = F.coalesce(F.from_json(have["image_urls_json"], EMPTY_MAP), F.create_map().cast(EMPTY_MAP))
     facts = {c: F.coalesce(have[c], F.lit("")) for c in ("unit_type", "faction", "rarity", "card_type")}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from duelstats.functions import decks
+from duelstats.functions.ranks import CERTIFICATE_KEYS
 from duelstats.params import JobConfig
 
 EXCLUDED = ("5-LOW",)
@@ -211,11 +212,12 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contests as merged matches with JSON pockets, as the store holds and packages carry them."""
     def profile(s: Column) -> Column:
         ranking = F.when(s["rank"].isNotNull(), s["rank"].cast("string"))
-        certificate = s["rank_order"].cast("string")
+        order = s["rank_order"]  # as the certificate number that stands for the same class
+        certificate = F.when(order <= 20, "1").when(order < 50, "10").when(order == 50, "50").when(order > 50, "100")
         stats = F.struct(
             F.struct(s["death_count"].alias("total")).alias("death_count"), F.struct(s["kill_count"].alias("total")).alias("kill_count")
         )
-        return F.to_json(F.struct(stats.alias("battle_stats"), ranking.alias("全国主君ランキング"), certificate.alias("order")))
+        return F.to_json(F.struct(stats.alias("battle_stats"), ranking.alias("全国主君ランキング"), certificate.alias(CERTIFICATE_KEYS[0])))
 
     def selected(s: Column) -> Column:
         souls = F.transform(s["souls"], lambda n: F.struct(n.alias("name")))

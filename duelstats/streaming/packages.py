@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from duelstats.plans.store import Store
@@ -24,23 +24,24 @@ def ingest(
     folder: str,
     store_root: str,
     checkpoint: str,
-    refresh: Callable[[Store, str, int], None] | None = None,
+    refresh: Callable[[Store, int], None] | None = None,
     pattern: str = PATTERN,
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Import everything that has arrived, then stop; run again (or schedule) for what arrives later.
 
     Files are taken once by the stream's checkpoint; content is taken once by the registry, over any distance in
-    time. A batch that is retried replaces its own partitions. ``refresh(store, version, batch)`` runs for each
-    version that gained matches, over all history, so late matches count like any others.
+    time. A batch that is retried replaces its own partitions. ``refresh(store, generation)`` runs after every batch that
+    changed matches; ``store.state.changes(generation)`` names the versions and buckets it touched, so that only their
+    results are written anew (``VersionBoards.refresh``). Late matches count like any others.
     """
     def take(batch: DataFrame, batch_id: int) -> None:
         store = Store(spark, store_root)
+        before = store.state.heads().generation
         store.add(numbered(batch), batch_id)
-        if refresh is not None:
-            entered = store.registry().where((F.col("batch") == batch_id) & (F.col("imported_match_count") > 0))
-            for row in entered.select("target_version").distinct().collect():  # one row per touched version
-                refresh(store, row["target_version"], batch_id)
+        after = store.state.heads().generation
+        if refresh is not None and after > before:
+            refresh(store, after)
 
     stream = arriving(spark, folder, pattern, files_per_batch)
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

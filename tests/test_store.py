@@ -29,12 +29,12 @@ def merged(spark, *rows):
 
 
 def test_alias_merge(spark):
-    url = f"{SITE}/history/detail?t=1773932045&f=586"
+    url = f"{SITE}/history/detail?t=1781234567&f=42"
     rows = [sighting(1, detail_url=url, played_at="x"), sighting(2, detail_url=url, replay_id="abc"), sighting(3, detail_url=url)]
     (row,) = merged(spark, *rows).collect()
-    assert (row.public_id, row.replay_id, row.played_at, row.sightings, row.id_state) == ("r:abc", "abc", "2026-03-19 23:54", 3, "replay")
+    assert (row.public_id, row.replay_id, row.played_at, row.sightings, row.id_state) == ("r:abc", "abc", "2026-06-12 12:22", 3, "replay")
     found = merge.aliases(merge.resolve(spark.createDataFrame(rows, SIGHTING)))
-    assert {(r.alias, r.alias_type) for r in found.collect()} == {("r:abc", "replay"), ("d:586:1773932045", "detail")}
+    assert {(r.alias, r.alias_type) for r in found.collect()} == {("r:abc", "replay"), ("d:42:1781234567", "detail")}
 
 
 def test_chained_aliases_and_nameless_records(spark):
@@ -82,13 +82,13 @@ def package(spark, tmp_path_factory):
 
 
 def read(spark, path):
-    return packages.read_lines(spark, path, "*.txt")
+    return packages.read_lines(spark, path)
 
 
 def test_package_round_trip_and_idempotency(spark, package, tmp_path):
     import glob
 
-    (file,) = glob.glob(f"{package}/**/*.txt", recursive=True)
+    (file,) = glob.glob(f"{package}/**/*.jsonl", recursive=True)
     lines = open(file, encoding="utf-8").read().splitlines()
     manifest, record = json.loads(lines[0]), json.loads(lines[1])
     assert len(lines) == 2 and manifest["match_count"] == 1 and manifest["package_id"].startswith("ann_1:V1:2026-05-01:2026-05-31:")
@@ -178,14 +178,52 @@ def test_refused_packages(spark, tmp_path):
     assert one.light and (one.players[0].side_index, one.players[0].player_name, one.players[0].result) == (1, "", "unknown")
 
 
+def test_empty_and_named_files(spark, tmp_path):
+    folder = tmp_path / "drop.v1"
+    folder.mkdir()
+    head = {"record_type": "manifest", "schema_version": "share_v1", "package_id": "k", "contributor_id": "c", "target_version": "V1", "match_count": 0}
+    (folder / "a.jsonl").write_text(json.dumps(head) + "\n")
+    (folder / "none.jsonl").write_text("")
+    (folder / "blank.jsonl").write_text(" \n\n")
+    (folder / "stray.txt").write_text("no package")
+    (tmp_path / "own name.dat").write_text(json.dumps({**head, "package_id": "k2"}) + "\n")
+
+    def seen(*paths):
+        found = jobs.import_packages(packages.read_lines(spark, [str(p) for p in paths]), jobs.Store(spark, str(tmp_path / "none")).registry())
+        rows = found.registry.unionByName(found.skipped.withColumn("status", F.lit("skipped")), allowMissingColumns=True).collect()
+        return sorted((r.path.rsplit("/", 1)[1], r.status) for r in rows), tuple(jobs.import_summary(found).first())
+
+    status, summary = seen(folder)
+    assert [n for n, _ in status] == ["a.jsonl", "blank.jsonl", "none.jsonl"] and dict(status)["a.jsonl"] == "completed" and summary[0] == 3 and summary[4] == 1
+    assert seen(tmp_path / "own name.dat")[0] == [("own%20name.dat", "completed")]
+    assert len(seen(folder, tmp_path / "own name.dat", folder / "stray.txt")[0]) == 5
+
+
+def test_shared_hashes_go_by_load_order(spark, tmp_path):
+    rows = [("c9", "First", '{"card_small":"s"}'), ("c10", "Second", '{"card_small":"s"}'), ("c1", "Third", '{"card_small":"t"}'), ("c0", "Last", '{"card_small":"t"}')]
+    table = spark.createDataFrame(rows, "card_code string, name string, image_keys_json string")
+    table.coalesce(1).write.parquet(str(tmp_path / "cards"))
+    for source in (table, spark.read.parquet(str(tmp_path / "cards"))):
+        names = {r.card_hash: r.name for r in catalog.by_hash(catalog.from_table(source)).collect()}
+        assert (names["s"], names["t"]) == ("Second", "Last")
+
+
+def test_remembered_results(spark, tmp_path):
+    from duelstats.plans.leaderboard import remembered
+
+    calls = []
+    compute = lambda: calls.append(1) or spark.range(3)
+    assert [remembered(spark, str(tmp_path), "lb:x", compute).count() for _ in range(2)] == [3, 3] and len(calls) == 1
+
+
 def test_stream_equals_batch(spark, package, tmp_path):
     from duelstats.streaming.packages import ingest
 
     seen = []
     root = str(tmp_path / "store")
     for _ in range(2):
-        ingest(spark, package, root, str(tmp_path / "cp"), lambda s, v, b: seen.append((v, b)), "*.txt").awaitTermination()
-    assert seen == [("V1", 0)] and jobs.Store(spark, root).matches().count() == 1
+        ingest(spark, package, root, str(tmp_path / "cp"), lambda s, g: seen.append((g, sorted({r.version for r in s.state.changes(g).collect()})))).awaitTermination()
+    assert seen == [(1, ["V1"])] and jobs.Store(spark, root).matches().count() == 1
 
 
 def test_uploads_and_windows(spark):
