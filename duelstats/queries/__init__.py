@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("scalars", "analysis", "boards", "store", "incremental", "corpus")
+MODULES = ("scalars", "analysis", "boards", "store", "incremental", "collect", "corpus")
 
 
 def _load() -> None:
