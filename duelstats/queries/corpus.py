@@ -56,16 +56,6 @@ def snk6(spark, d):
     return found.select("content_hash", "source_url", F.length("html").alias("n"))
 
 
-@query("job13_page_corpus")
-def job13(spark, d):
-    """Pages through the detail parser; pages without a match yield empty records."""
-    rows = ct.table(spark, d, "pages").select(
-        F.col("page_id").alias("seq"), "url", "html", F.lit("").alias("follow_id"), F.lit("A").alias("player_name"), F.lit("B").alias("opponent_name"),
-        F.lit("").alias("mode"), F.lit("").alias("played_at"), F.lit("unknown").alias("result"), F.array().cast("array<string>").alias("castle_rates"), F.lit("").alias("raw_text"),
-    )
-    return pages.details(rows).select("seq", "detail_url", "result", F.size("players").alias("sides"), F.size("castle_rows").alias("castle_rows"))
-
-
 def _units(spark, d):
     rows = ct.table(spark, d, "lineitem")
     return rows.select(F.col("l_orderkey").alias("match_id"), F.col("l_partkey").cast("string").alias("card_hash"))
