@@ -12,7 +12,7 @@ from duelstats.operators import boards, clustering, facts, matchups, samples
 from duelstats.operators.ranking import page, ranked
 from duelstats.params import PAYLOAD_VERSION, SIMILAR_COST, JobConfig, page_limit, rank_scope_name, row_type_name
 from duelstats.plans.analysis import cards_by_cost, labelled
-from duelstats.session import cut, read_if_there
+from duelstats.session import cut, read_if_there, remove_folder
 
 KEYS = ["rank_scope", "deck_fingerprint"]
 CLUSTER = ["rank_scope", "representative"]
@@ -129,16 +129,21 @@ def published_rows(built: Boards) -> DataFrame:
     return rows.unionByName(flat(built.cards, "card", "card_hash")).unionByName(flat(built.archetypes, "archetype", "representative"))
 
 
-def publish(built: Boards, cfg: JobConfig, root: str, run_id: int, watermark: int = 0) -> None:
-    """Write a run below ``root``. The registry row is appended after the data, so readers never see half a run."""
+# States of a run in their order; the log keeps every state, the last one counts.
+BUILDING, READY, FAILED, DROPPED = ("building", 0), ("ready", 1), ("failed", 1), ("dropped", 2)
+FOLDERS = ("rows", "matrix", "totals")
+
+
+def publish(built: Boards, cfg: JobConfig, root: str, run_id: int, watermark: int = 0, keep: int = 1) -> None:
+    """Write a run below ``root`` and log its states: building before the data, ready after it, failed if it breaks off.
+
+    Readers only see ready runs, so never half of one. Runs that this one supersedes are dropped but for the ``keep`` newest, which
+    a reader may still hold; their rows are logged as dropped before their folders go.
+    """
     spark: SparkSession = built.decks.sparkSession
     run = lambda df: df.withColumn("run_id", F.lit(run_id).cast("bigint"))
     put = lambda df, name, *by: run(df).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", *by).parquet(f"{root}/{name}")
-    put(published_rows(built), "rows", "row_type", "rank_scope")
-    put(built.matrix, "matrix", "rank_scope")
-    put(built.totals, "totals")
-    rows = spark.read.parquet(f"{root}/rows").where(F.col("run_id") == run_id).agg(F.count(F.lit(1)).alias("row_count"))
-    facts = run(rows).select(
+    facts = run(spark.range(1)).select(
         "run_id",
         F.lit("public").alias("scope"),
         F.lit(PAYLOAD_VERSION).alias("payload_version"),
@@ -147,15 +152,54 @@ def publish(built: Boards, cfg: JobConfig, root: str, run_id: int, watermark: in
         F.lit(cfg.date_to).alias("date_to"),
         F.lit(cfg.include_solo).alias("include_solo"),
         F.lit(watermark).cast("bigint").alias("watermark"),
-        F.lit("ready").alias("status"),
-        "row_count",
+        *[F.lit(None).cast("bigint").alias(c) for c in SIZES],
     )
+    _log(facts, root, BUILDING)
+    try:
+        put(published_rows(built), "rows", "row_type", "rank_scope")
+        put(built.matrix, "matrix", "rank_scope")
+        put(built.totals, "totals")
+    except Exception:
+        _log(facts, root, FAILED)
+        raise
+    count = spark.read.parquet(f"{root}/rows").where(F.col("run_id") == run_id).agg(F.count(F.lit(1)).alias("row_count"))
     totals = spark.read.parquet(f"{root}/totals").where((F.col("run_id") == run_id) & (F.col("rank_scope") == "all"))
-    facts = facts.join(totals.select("run_id", "match_count", "side_sample_count"), "run_id", "left")
-    facts.write.mode("append").parquet(f"{root}/runs")
+    sizes = totals.agg(*[F.max(c).alias(c) for c in SIZES[:2]])  # one row, also where nothing was counted
+    _log(facts.drop(*SIZES).join(F.broadcast(sizes)).join(F.broadcast(count)), root, READY)
+    prune(spark, root, cfg, run_id, keep)
+
+
+SIZES = ["match_count", "side_sample_count", "row_count"]
+
+
+def _log(facts: DataFrame, root: str, state: tuple[str, int]) -> None:
+    name, step = state
+    facts.withColumns({"status": F.lit(name), "step": F.lit(step)}).coalesce(1).write.mode("append").parquet(f"{root}/runs")
+
+
+def runs(spark: SparkSession, root: str) -> DataFrame:
+    """Every run in its last state."""
+    log = spark.read.parquet(f"{root}/runs")
+    rest = [c for c in log.columns if c not in ("run_id", "step")]
+    return log.groupBy("run_id").agg(F.max_by(F.struct(*rest), F.struct("step", F.coalesce("row_count", F.lit(-1)))).alias("r")).select("run_id", "r.*")
+
+
+def prune(spark: SparkSession, root: str, cfg: JobConfig, run_id: int, keep: int = 1) -> list[int]:
+    """Drop the runs that a ready run supersedes, all but the ``keep`` newest ready ones; returns those it dropped."""
+    known = cut(runs(spark, root))
+    old = superseded(known.where(F.col("status") != DROPPED[0]), known.where((F.col("run_id") == run_id) & (F.col("status") == READY[0]))).where(F.col("run_id") < run_id)
+    held = [r["run_id"] for r in old.where(F.col("status") == READY[0]).orderBy(F.col("run_id").desc()).limit(keep).collect()]
+    # a run that is still being built may belong to another job
+    gone = old.where(~F.col("status").isin(BUILDING[0]) & ~F.col("run_id").isin(held)).drop("status")
+    ids = sorted(r["run_id"] for r in gone.select("run_id").collect())  # one number per run
+    if ids:
+        _log(gone, root, DROPPED)
+        for folder in (f"{root}/{name}/run_id={n}" for n in ids for name in FOLDERS):
+            remove_folder(folder)
+    return ids
 
 
-def run_for(runs: DataFrame, cfg: JobConfig, watermark: int, version: str = "", status: str = "ready") -> DataFrame:
+def run_for(known: DataFrame, cfg: JobConfig, watermark: int, version: str = "", status: str = "ready") -> DataFrame:
     """The run a request reads (at most one row): for the configured version the run must match window and watermark,
     for another version the latest one does."""
     wanted = (F.col("scope") == "public") & (F.col("payload_version") == PAYLOAD_VERSION)
@@ -172,20 +216,20 @@ def run_for(runs: DataFrame, cfg: JobConfig, watermark: int, version: str = "",
             & (F.col("include_solo") == cfg.include_solo)
             & (F.col("watermark") == watermark)
         )
-    newest = runs.where(wanted).agg(F.max_by(F.struct(*runs.columns), "run_id").alias("r"))
+    newest = known.where(wanted).agg(F.max_by(F.struct(*known.columns), "run_id").alias("r"))
     return newest.where(F.col("r").isNotNull()).select("r.*")
 
 
-def superseded(runs: DataFrame, keep: DataFrame) -> DataFrame:
+def superseded(known: DataFrame, keep: DataFrame) -> DataFrame:
     """Other runs over the same version, window and mode setting; their partitions may go."""
     same = ["target_version", "date_from", "date_to", "include_solo"]
     kept = keep.select(*same, F.col("run_id").alias("keep_id"))
-    return runs.join(F.broadcast(kept), same).where(F.col("run_id") != F.col("keep_id")).drop("keep_id")
+    return known.join(F.broadcast(kept), same).where(F.col("run_id") != F.col("keep_id")).drop("keep_id")
 
 
-def available_versions(runs: DataFrame, current: str) -> DataFrame:
-    ready = runs.where((F.col("scope") == "public") & (F.col("payload_version") == PAYLOAD_VERSION) & (F.col("status") == "ready"))
-    one = runs.sparkSession.range(1).select(F.lit(current).alias("target_version"))
+def available_versions(known: DataFrame, current: str) -> DataFrame:
+    ready = known.where((F.col("scope") == "public") & (F.col("payload_version") == PAYLOAD_VERSION) & (F.col("status") == "ready"))
+    one = known.sparkSession.range(1).select(F.lit(current).alias("target_version"))
     names = ready.select(strip(F.col("target_version")).alias("target_version")).unionByName(one)
     return names.where(F.col("target_version") != "").distinct().orderBy(F.col("target_version").desc())
 
@@ -216,8 +260,7 @@ def read_page(
     archetypes: bool = True,
 ) -> Page:
     """One page of a published board; ``missing`` when no run fits the request."""
-    runs = spark.read.parquet(f"{root}/runs")
-    found = run_for(runs, cfg, watermark, version).first()
+    found = run_for(runs(spark, root), cfg, watermark, version).first()
     if found is None:
         return Page("missing", None, 0, False)
     kind, scope = row_type_name(row_type, archetypes), rank_scope_name(rank_scope)

@@ -69,3 +69,12 @@ def read_if_there(spark: SparkSession, path: str) -> DataFrame | None:
         if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None
         raise
+
+
+def remove_folder(path: str) -> None:
+    """Remove a folder of shared storage that no reader is led to any more; one that is gone already is fine."""
+    from pyarrow.fs import FileSystem, FileType
+
+    fs, folder = FileSystem.from_uri(path)
+    if fs.get_file_info(folder).type != FileType.NotFound:
+        fs.delete_dir(folder)

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import Window, functions as F
 
 from duelstats.operators import boards, matchups, samples
@@ -100,6 +101,30 @@ def test_archetypes_and_published_pages(spark, tmp_path):
     assert ask(version="V9").status == "missing"
 
 
+def test_runs_have_states_and_old_ones_go(spark, tmp_path):
+    import os
+    from dataclasses import replace
+
+    root = str(tmp_path)
+    built = leaderboard.build(bouts(spark, [bout(1, side(1, "ab"), side(2, "cd"))]), CFG, cards(spark, a=1.0))
+    broken = replace(built, totals=built.totals.withColumn("match_count", F.raise_error(F.lit("broken")).cast("bigint")))
+    states = lambda: {r.run_id: r.status for r in leaderboard.runs(spark, root).collect()}
+    leaderboard.publish(built, CFG, root, 1, 5)
+    with pytest.raises(Exception, match="broken"):
+        leaderboard.publish(broken, CFG, root, 2, 5)
+    assert states() == {1: "ready", 2: "failed"} and leaderboard.read_page(spark, root, CFG, 5).status == "ready"
+    held = leaderboard.read_page(spark, root, CFG, 5, row_type="deck").rows
+    leaderboard.publish(built, CFG, root, 3, 5)
+    assert states() == {1: "ready", 2: "dropped", 3: "ready"} and held.count() == 2  # a reader of the run before goes on
+    leaderboard.publish(built, replace(CFG, version="V9"), root, 4, 5)  # another version supersedes nothing
+    leaderboard.publish(built, CFG, root, 5, 5)
+    assert states() == {1: "dropped", 2: "dropped", 3: "ready", 4: "ready", 5: "ready"}
+    assert sorted(os.listdir(f"{root}/rows"))[-3:] == ["run_id=3", "run_id=4", "run_id=5"] and not os.path.exists(f"{root}/totals/run_id=1")
+    assert leaderboard.read_page(spark, root, CFG, 5, row_type="deck").total == 2
+    (row,) = leaderboard.runs(spark, root).where("run_id = 5").collect()
+    assert (row.match_count, row.side_sample_count, row.row_count > 0) == (1, 2, True)
+
+
 def test_page_orders(spark):
     rows = spark.createDataFrame([(1, 1, 0.9), (2, 10, 0.1)], "rank bigint, sample_count bigint, wilson_lower_bound double")
     assert [r.sample_count for r in page(rows, "sample").collect()] == [10, 1]
