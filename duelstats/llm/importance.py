@@ -14,7 +14,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from duelstats.llm.mixing import BITS, LEVELS, thresholds
+from duelstats.llm.mixing import BITS, LEVELS, thresholds, within_budget
 from duelstats.llm.tokens import Hashes, hashed, mixed
 from duelstats.session import cut
 
@@ -78,8 +78,8 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     """One row per document: ``_id``, ``_weight`` (log importance), ``_draw`` (with noise), ``_selected``.
 
     The target model is fitted on at most ``target_rows`` documents labelled 1, chosen by hash. ``share`` of all documents are selected; by
-    default the share of labelled documents that are labelled 1, or all without labels. Null and empty texts weigh 0; rows that draw
-    alike (repeated rows) are selected together; an empty table gives an empty result; further columns aren't read.
+    default the share of labelled documents that are labelled 1, or all without labels. Null and empty texts weigh 0; of rows that draw
+    alike (repeated rows) as many are selected as the budget has room for; an empty table gives an empty result; further columns aren't read.
     """
     rated = labels.select(F.col(f"`{label_id}`").alias("_id"), F.col(f"`{label}`").alias("_label")).where("_id is not null")
     good = rated.where("_label = 1").select("_id").distinct()
@@ -90,9 +90,9 @@ def resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ratio = log_ratios(docs, ids, id_col, text_col)
     rows = docs.select(F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
     kind = rows.schema["_id"].dataType.simpleString()
-    scored = cut(rows.mapInArrow(_scorer(ratio, seed), f"_id {kind}, _weight double, _draw double, _hash bigint"))
-    # the budget is a number of rows; the key is dealt into parts only to let its first level be summed by many tasks
-    sized = scored.select(F.lit("").alias("_key"), "_hash", F.lit(1).cast("bigint").alias("_size"))
+    scored = cut(rows.mapInArrow(_scorer(ratio, seed), f"_id {kind}, _weight double, _draw double, _hash bigint").withColumn("_row", F.monotonically_increasing_id()))
+    # the budget is a number of rows
+    sized = scored.withColumns({"_key": F.lit(""), "_size": F.lit(1).cast("bigint")})
     budget = scored.agg(F.count(F.lit(1)).alias("_rows")).select(F.lit("").alias("_key"), F.round(F.col("_rows") * F.lit(float(share))).alias("_budget"))
-    line = thresholds(sized, budget).select("_below")  # one row
-    return scored.join(F.broadcast(line)).select("_id", "_weight", "_draw", (F.col("_hash") < F.col("_below")).alias("_selected"))
+    chosen = within_budget(sized, thresholds(sized.select("_key", "_hash", "_size"), budget))
+    return chosen.select("_id", "_weight", "_draw", F.col("_in").alias("_selected"))

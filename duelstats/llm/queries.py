@@ -105,7 +105,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h FROM documents),
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, 12) AS BIGINT) AS h FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY 1),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INT)] AS weight FROM s),
 l AS (
@@ -119,10 +119,11 @@ t AS (
 g AS (
   SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
 a AS (SELECT source, h, sum(size) AS atom FROM d GROUP BY 1, 2),
-c AS (SELECT *, sum(atom) OVER (PARTITION BY source ORDER BY h) - atom AS before FROM a)
+c AS (SELECT *, sum(atom) OVER (PARTITION BY source ORDER BY h) - atom AS before FROM a),
+n AS (SELECT *, row_number() OVER (PARTITION BY source, h) AS nth FROM d)
 SELECT d.doc_id, d.size, g.source_size, g.target,
-       CAST(d.size * (g.whole + CASE WHEN c.before + c.atom / 2.0 < g.target - g.whole * g.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
-FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h"""
+       CAST(d.size * (g.whole + CASE WHEN c.before + (nth - 1) * d.size + d.size / 2.0 < g.target - g.whole * g.source_size THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM n d JOIN g ON d.source IS NOT DISTINCT FROM g.source JOIN c ON d.source IS NOT DISTINCT FROM c.source AND d.h = c.h"""
 
 
 @query("op9_mix_sources", OP9)

@@ -187,6 +187,42 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
+def _mixed(rows, taken):
+    """Words taken per source, beside the target (one value per source)."""
+    out = {}
+    for r, t in zip(rows, taken):
+        entry = out.setdefault(r._source_size, [0, r._target, 0])
+        entry[0], entry[2] = entry[0] + t, max(entry[2], r._size)
+    return out
+
+
+@pytest.mark.parametrize("hot", [(7, 3000, "one two three four"), (None, 3000, "one two three four"), (9, 3000, None)])
+def test_mix_meets_targets_with_shared_identifiers(spark, hot):
+    """Thousands of rows share an identifier: with one text (equal rows), or each with its own."""
+    shared, many, text = hot
+    rows = [(shared, text or " ".join(["w"] * (k % 9 + 1)) + f" {k}", "a") for k in range(many)]
+    rows += [(k, " ".join(["v"] * (k % 7)), "a") for k in range(2000)] + [(k, "x y z " * 5, "b") for k in range(800)] + [(k, "q " * (k % 40), "c") for k in range(900)]
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(6)
+    got = mixing.mix(table).collect()
+    assert len(got) == len(rows) and all(0 <= r._copies <= 3 for r in got)
+    for words, target, longest in _mixed(got, [r._size * r._copies for r in got]).values():
+        assert abs(words - target) <= longest
+    again = mixing.mix(table.repartition(3)).collect()
+    assert Counter((r._id, r._size, r._copies) for r in again) == Counter((r._id, r._size, r._copies) for r in got)
+
+
+def test_importance_keeps_its_budget_and_the_best_draws(spark):
+    rows = [(5, "good words here")] * 3000 + [(k, f"text {k} of {k % 13} kinds") for k in range(2000)]
+    labels = spark.createDataFrame([(k, int(k % 5 == 0)) for k in range(0, 2000, 3)], "doc_id bigint, quality int")
+    table = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    for share in (0.6, 0.1, 0.0, 1.0):
+        got = importance.resample(table, labels, share=share).collect()
+        chosen, left = [r._draw for r in got if r._selected], [r._draw for r in got if not r._selected]
+        assert len(chosen) == round(share * len(rows)) and len(got) == len(rows)
+        # the largest draws: keys are cut to 48 bits, so the smallest chosen one may lie a rounding below
+        assert not chosen or not left or min(chosen) >= max(left) - 1e-3
+
+
 def test_warc_round_trip(spark):
     rows = [(1, "http://a", "same"), (2, None, "same"), (2, "http://c d\r\n", "same"), (3, "http://e", None), (4, "http://f", ""), (None, "g", "same"), (5, "h", "ö" * 300_000)]
     got = sorted((str(r.page_id), r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect())
