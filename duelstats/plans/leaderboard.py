@@ -45,6 +45,14 @@ def archetype_board(counts: DataFrame) -> DataFrame:
     return ranked(boards.scored(counts), ["rank_scope"], boards.board_order("representative"))
 
 
+def shown_cards(matches: DataFrame) -> DataFrame:
+    """Cards that merged matches show with their names: (played_at, match_id, side_index, slot, card_hash, raw_name)."""
+    sides = matches.select("played_at", F.col("public_id").alias("match_id"), F.explode("players").alias("p"))
+    told = F.from_json(F.get_json_object("p.selected", "$.generals"), "array<struct<hash_id:string,raw_name:string>>")
+    rows = sides.select("played_at", "match_id", "p.side_index", F.posexplode(told).alias("slot", "g"))
+    return rows.select("played_at", "match_id", "side_index", "slot", F.col("g.hash_id").alias("card_hash"), "g.raw_name")
+
+
 def first_names(side_rows: DataFrame) -> DataFrame:
     """First raw name seen per card, for cards missing from the catalog.
 

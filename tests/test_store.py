@@ -178,6 +178,32 @@ def test_refused_packages(spark, tmp_path):
     assert one.light and (one.players[0].side_index, one.players[0].player_name, one.players[0].result) == (1, "", "unknown")
 
 
+def test_aggregate_shared_writes_every_report(spark, tmp_path):
+    shown = '{"generals":[{"hash_id":"c","raw_name":" Seen "},{"hash_id":"b","raw_name":""}]}'
+    named = lambda p: p.withField("selected", F.lit(shown))
+    drop, root = str(tmp_path / "drop"), str(tmp_path / "out")
+    rows = match_rows(spark).withColumn("players", F.transform("players", named))
+    jobs.export_contributions(rows, CFG, F.lit("ann"), drop, "now")
+    dim = spark.createDataFrame([("a", "Known", 2.0), ("b", "Bee", 1.0)], "card_hash string, name string, cost double")
+    cfg = JobConfig(version="", date_from="2026-05-01", date_to="2026-05-31", deck_floor=1, card_floor=1)
+    store = jobs.Store(spark, str(tmp_path / "store"), buckets=2)
+    paths = jobs.aggregate_shared(store, read(spark, drop), cfg, dim, root, 7, 1)
+    assert set(paths) == {"overview", "deck", "card", "deck-version", "card-version", "deck-top", "summary"}
+    summary = spark.read.json(paths["summary"]).first()
+    assert (summary.run_id, summary["import"].packages_imported, summary["import"].matches_imported, len(summary.reports)) == (7, 1, 1, 6)
+    tables = {name: spark.read.option("header", True).csv(path) for name, path in paths.items() if name != "summary"}
+    assert {r.card_hash for r in tables["card"].collect()} == {"a", "b", "c"} and tables["deck"].count() == 2 and tables["overview"].count() > 5
+    text = str([r.asDict() for r in tables["card"].collect()])
+    assert "Known" in text and "Seen" in text  # a card of no catalog goes by the name that players saw
+    version = [c for c in tables["deck-version"].columns if "V1" in c]
+    assert version and spark.read.parquet(f"{root}/runs/runs").first().status == "completed"
+    wide = jobs.wide_matches(store.bouts(), dim)
+    jobs.export_matches(wide, f"{root}/csv", "csv")
+    assert spark.read.option("header", True).csv(f"{root}/csv").first().player_deck == "b|a|a"
+    with pytest.raises(ValueError):
+        jobs.export_matches(wide, f"{root}/x", "odd")
+
+
 def test_empty_and_named_files(spark, tmp_path):
     folder = tmp_path / "drop.v1"
     folder.mkdir()
