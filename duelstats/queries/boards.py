@@ -10,7 +10,7 @@ from duelstats.operators import boards, clustering, facts, matchups, samples
 from duelstats.operators.ranking import page, ranked
 from duelstats.plans import leaderboard as jobs
 from duelstats.queries.analysis import CLUSTER_SQL, CORE_SQL
-from duelstats.queries.base import BOARD, CONTESTS, counts_sql, query, raw_wilson_sql, win_rate_sql, wilson_sql
+from duelstats.queries.base import BOARD, CONTESTS, ORACLES, counts_sql, query, raw_wilson_sql, win_rate_sql, wilson_sql
 from duelstats.session import cut
 from duelstats.sources import contest_tables as ct
 
@@ -414,6 +414,11 @@ def job6(spark, d):
     return matchups.matrix_totals(matchups.cells(matchups.pairs(_scoped(spark, d))))
 
 
+# the names under which the queries over whole decks were first known
+for _name, _fn in (("ag9_matchup_cells", ag9), ("srt3_matrix_axis", srt3), ("jn8_matchup_matrix", jn8), ("rs8_matrix_rows", rs8), ("job6_matrix_totals", job6)):
+    query(f"{_name}_decks", ORACLES[_name])(_fn)
+
+
 # what a profile shows of an entity: {entity} of the rows of {rows}
 PROFILE_SQL = """,
 shown AS (SELECT *, {entity} AS entity FROM {rows}),

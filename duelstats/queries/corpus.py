@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from duelstats.operators import frontier, pages, samples, versions
 from duelstats.plans import leaderboard
-from duelstats.queries.base import CONTESTS, counts_sql, query
+from duelstats.queries.base import CONTESTS, ORACLES, counts_sql, query
 from duelstats.session import scratch_path
 from duelstats.sources import catalog, contest_tables as ct, snapshots
 from duelstats.streaming import daily
@@ -194,6 +194,9 @@ def set1(spark, d):
     return catalog.overlaid(base, catalog.by_hash(catalog.from_table(newer))).select("card_hash", "name")
 
 
+query("set1_overlay_all", ORACLES["set1_overlay"])(set1)  # its name of the round before
+
+
 @query(
     "up17_new_cards",
     "SELECT 'c' || p_partkey AS card_code FROM part WHERE p_partkey % 5 = 0",
