@@ -7,6 +7,7 @@ filter over these arrays.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -80,9 +81,32 @@ def _flatten(html: str | None) -> dict:
     return {"elements": page.elements, "strings": page.strings}
 
 
+PAGES_AT_ONCE, CHARACTERS_AT_ONCE = 64, 1_000_000
+
+
+def _portions(pages: pd.Series) -> Iterator[list]:
+    """Pages in order, a few at a time; a portion ends at either bound."""
+    portion, size = [], 0
+    for text in pages:
+        portion.append(text)
+        size += len(text or "")
+        if len(portion) >= PAGES_AT_ONCE or size >= CHARACTERS_AT_ONCE:
+            yield portion
+            portion, size = [], 0
+    if portion:
+        yield portion
+
+
+def _doms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    """The elements of a page take many times its text, so they are handed on portion by portion, however long a batch is."""
+    for html in batches:
+        for portion in _portions(html):
+            yield pd.DataFrame([_flatten(text) for text in portion], columns=["elements", "strings"])
+
+
 @F.pandas_udf(DOM)
-def dom(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([_flatten(text) for text in html], columns=["elements", "strings"])
+def dom(html: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    yield from _doms(html)
 
 
 def let(value: Column, use) -> Column:
