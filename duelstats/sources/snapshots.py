@@ -12,7 +12,9 @@ def land(pages: DataFrame, root: str) -> None:
     """
     hashed = pages.withColumn("content_hash", F.sha2("html", 256))
     once = hashed.groupBy("date", "source_kind", "content_hash").agg(F.min_by(F.struct("source_url", "html"), "source_url").alias("p"))
-    once.select("date", "source_kind", "content_hash", "p.*").write.mode("append").partitionBy("date", "source_kind").parquet(root)
+    # a day's pages of a kind lie together, else every task would leave a file below every day
+    together = once.select("date", "source_kind", "content_hash", "p.*").hint("rebalance", F.col("date"), F.col("source_kind"))
+    together.write.mode("append").partitionBy("date", "source_kind").parquet(root)
 
 
 def read(spark: SparkSession, root: str, source_kind: str = "", date_from: str = "", date_to: str = "") -> DataFrame:
