@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from duelstats.llm.base import land
-from duelstats.session import cut
+from duelstats.session import cut, release
 
 LENGTH = 200
 GRAM = 32
@@ -149,25 +149,33 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(landed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From rows (``_doc``, ``_text``): the texts that may hold repeats, and the stretches (``_doc``, ``_from``, ``_to``) that repeated strings cover."""
+    """From rows (``_doc``, ``_text``), written by ``land``: the texts that may hold repeats, and the stretches (``_doc``, ``_from``, ``_to``) that
+    repeated strings cover. Every table is removed as soon as the next one is there, ``landed`` too, so that few of them are on disk at a time."""
     grams = cut(landed.select("_doc", "_text").mapInArrow(_grams, "_bucket bigint, _doc bigint, _at int"))
     again = grams.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_bucket")
-    active = grams.join(again, "_bucket").groupBy("_doc").agg(F.collect_list("_at").alias("_active"))
+    active = cut(grams.join(again, "_bucket").groupBy("_doc").agg(F.collect_list("_at").alias("_active")))
+    release(grams)
     texts = land(landed.select("_doc", "_text").join(active, "_doc"))
+    release(landed)
+    release(active)
 
     parts = cut(texts.select("_doc", "_text", "_active").mapInArrow(_parts, "_doc bigint, _at int, _part int, _core bigint, _hull binary"))
     kinds = cut(parts.groupBy("_core", "_hull").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_doc", "_at", "_part")).alias("_first")))
     cores = kinds.groupBy("_core").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_kinds"), F.max(F.col("_hull").isNull()).alias("_cropped"))
     open_ = cut(cores.where((F.col("_all") > 1) & ((F.col("_kinds") > 1) | F.col("_cropped"))).select("_core"))
+    again = cut(kinds.where("_hull is not null and _n > 1").select("_core", "_hull"))
+    one_each = cut(kinds.where("_hull is not null").join(open_, "_core").select("_first.*", F.least("_n", F.lit(2)).cast("bigint").alias("_count")))
+    release(kinds)
 
     near = F.col("_part") * PART
     far = F.least(near + PART - 1, F.lit(SLIDE - 1))
-    same = parts.join(kinds.where("_hull is not null and _n > 1").select("_core", "_hull"), ["_core", "_hull"])
-    whole = same.select("_doc", (F.col("_at") - far).alias("_from"), (F.col("_at") - near + LENGTH).alias("_to"))
+    same = parts.join(again, ["_core", "_hull"])
+    whole = cut(same.select("_doc", (F.col("_at") - far).alias("_from"), (F.col("_at") - near + LENGTH).alias("_to")))
 
-    one_each = kinds.where("_hull is not null").join(open_, "_core").select("_first.*", F.least("_n", F.lit(2)).cast("bigint").alias("_count"))
     cropped = parts.where("_hull is null").join(open_, "_core").select("_doc", "_at", "_part", F.lit(1).cast("bigint").alias("_count"))
-    asked = one_each.unionByName(cropped).groupBy("_doc").agg(F.collect_list(F.struct("_at", "_part", "_count")).alias("_asked"))
+    asked = cut(one_each.unionByName(cropped).groupBy("_doc").agg(F.collect_list(F.struct("_at", "_part", "_count")).alias("_asked")))
+    for table in (parts, again, one_each, open_):
+        release(table)
     windows = cut(texts.join(asked, "_doc").select("_doc", "_text", "_active", "_asked").mapInArrow(_windows, "_doc bigint, _from int, _key binary, _count bigint"))
     twice = windows.groupBy("_key").agg(F.sum("_count").alias("_n")).where("_n > 1").select("_key")
     single = windows.join(twice, "_key").select("_doc", "_from", (F.col("_from") + LENGTH).alias("_to"))
@@ -183,10 +191,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     gives an empty result; further columns aren't read.
     """
     landed = land(docs.select(F.monotonically_increasing_id().alias("_doc"), F.col(f"`{id_col}`").alias("_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("_text")))
+    whole = cut(landed.select("_doc", "_id", F.octet_length("_text").cast("bigint").alias("_bytes"), F.sha2(F.encode("_text", "UTF-8"), 256).alias("_all")))
     texts, spans = repeated_spans(landed)
-    each = spans.groupBy("_doc").agg(F.collect_list(F.struct("_from", "_to")).alias("_s"))
+    each = cut(spans.groupBy("_doc").agg(F.collect_list(F.struct("_from", "_to")).alias("_s")))
     cleaned = texts.select("_doc", "_text").join(each, "_doc").mapInArrow(_removed, "_doc bigint, _removed bigint, _spans bigint, _sha string, _kept binary")
-    whole = landed.select("_doc", "_id", F.octet_length("_text").cast("bigint").alias("_bytes"), F.sha2(F.encode("_text", "UTF-8"), 256).alias("_all"))
     zero = F.lit(0).cast("bigint")
     return whole.join(cleaned, "_doc", "left").select(
         "_id", "_bytes", F.coalesce("_removed", zero).alias("_removed"), F.coalesce("_spans", zero).alias("_spans"), F.coalesce("_sha", "_all").alias("_sha"), "_kept"
