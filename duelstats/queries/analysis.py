@@ -10,6 +10,7 @@ from duelstats.functions import decks, outcomes, ranks
 from duelstats.operators import clustering, samples, stats
 from duelstats.plans import analysis as jobs
 from duelstats.queries.base import CONTESTS, SCOPED, counts_sql, query, raw_wilson_sql, win_rate_sql, wilson_sql
+from duelstats.session import cut
 from duelstats.sources import contest_tables as ct
 
 CFG = ct.CONFIG
@@ -228,7 +229,7 @@ UNION ALL SELECT 'sample_scope_counts.' || sample_scope, CAST(count(*) AS VARCHA
 
 @query("ag4_run_counters", COUNTERS_SQL + "SELECT * FROM counter")
 def ag4(spark, d):
-    bouts = _scoped(spark, d)
+    bouts = cut(_scoped(spark, d))  # every counter reads them
     return stats.counters(bouts, samples.side_samples(bouts), CFG)
 
 
@@ -239,7 +240,7 @@ def ag4(spark, d):
 UNION ALL SELECT 'date_to', '9999-99-99'""",
 )
 def rs6(spark, d):
-    bouts = _scoped(spark, d)
+    bouts = cut(_scoped(spark, d))
     return jobs.overview(7, CFG, stats.counters(bouts, samples.side_samples(bouts), CFG))
 
 
