@@ -387,7 +387,7 @@ def ag15(spark, d):
 FROM (SELECT deck_fingerprint, leader FROM member) m JOIN deck_stat s USING (deck_fingerprint) GROUP BY 1, 2, 3""",
 )
 def ag16(spark, d):
-    rows = stats.deck_stats(_known(spark, d), CFG)
+    rows = cut(stats.deck_stats(_known(spark, d), CFG))  # clustered, then summed by cluster
     members, _ = clustering.analysis_archetypes(stats.base_stats(rows), ct.card_dim(spark))
     scoped = jobs.archetype_scopes(members, rows)
     return scoped.select("leader", *stats.SCOPE, "member_count", "sample_count", "win_count", "loss_count")
