@@ -439,7 +439,7 @@ profile AS (
 
 @query("job8_behaviour_profile", BOARD + PROFILE_SQL.format(entity="deck_fingerprint", rows="board") + "SELECT * RENAME (entity AS deck_fingerprint) FROM profile")
 def job8(spark, d):
-    scoped = _scoped(spark, d)
+    scoped = cut(_scoped(spark, d))  # for the facts and the latest samples
     counted = cut(facts.daily(scoped, every_day=False))
     counts = cut(boards.scored(facts.deck_counts(counted)))
     built = boards.profile(counts, cut(facts.facets(counted, CFG.anchor)), boards.deck_recent(samples.side_samples(scoped)), DECK, CFG.anchor)
