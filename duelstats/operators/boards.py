@@ -78,8 +78,11 @@ def scope_totals(samples: DataFrame) -> DataFrame:
 # ---- behaviour of a board entity ---------------------------------------------------------------------------------
 
 
-def facets(samples: DataFrame, anchor: str = "") -> DataFrame:
-    """Counts per (rank_scope, deck, kind, name) for players, weapons, styles, souls and dates.
+FACETS = ("player", "weapon", "style", "date", "soul")
+
+
+def facets(samples: DataFrame, anchor: str = "", kinds: tuple[str, ...] = FACETS) -> DataFrame:
+    """Counts per (rank_scope, deck, kind, name) for players, weapons, styles, dates and souls, or for some of these ``kinds``.
 
     One pass over the samples: every sample explodes into its few facets, which the map side already adds up. Names
     of choices come normalised and distinct out of the loadout (``functions.loadout``). Blank names do not count. With
@@ -90,15 +93,11 @@ def facets(samples: DataFrame, anchor: str = "") -> DataFrame:
         date = F.when(F.date_diff(F.to_date(F.lit(anchor)), date).between(0, 13), date)
     day = F.date_format(date, "yyyy-MM-dd")
     item = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("name"))
-    parts = F.concat(
-        F.array(
-            item("player", strip(F.col("player_name"))),
-            item("weapon", F.col("weapon")),
-            item("style", F.col("style")),
-            item("date", day),
-        ),
-        F.transform(F.coalesce("souls", F.array().cast("array<string>")), lambda s: item("soul", s)),
-    )
+    names = {"player": strip(F.col("player_name")), "weapon": F.col("weapon"), "style": F.col("style"), "date": day}
+    parts = F.array(*[item(kind, c) for kind, c in names.items() if kind in kinds])
+    if "soul" in kinds:
+        souls = F.transform(F.coalesce("souls", F.array().cast("array<string>")), lambda s: item("soul", s))
+        parts = F.concat(parts, souls) if len(kinds) > 1 else souls
     exploded = keyed(samples).select("deck_fingerprint", "order_class", "result", F.explode(parts).alias("f"))
     named = exploded.where(F.col("f.name") != "")
     by_class = named.groupBy("deck_fingerprint", "order_class", F.col("f.kind").alias("kind"), F.col("f.name").alias("name")).agg(

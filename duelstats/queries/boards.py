@@ -114,9 +114,14 @@ people AS (
 )
 
 
+def _players(rows):
+    """The players' facets, written once for the totals and the most frequent ones."""
+    return cut(boards.facets(rows, kinds=("player",)))
+
+
 @query("ag10_player_concentration", PLAYERS_SQL + "SELECT * EXCLUDE (sample_count) FROM people")
 def ag10(spark, d):
-    return boards.concentration(boards.facets(_samples(spark, d)), DECK)
+    return boards.concentration(_players(_samples(spark, d)), DECK)
 
 
 @query(
@@ -128,8 +133,8 @@ def ag10(spark, d):
 FROM people""",
 )
 def ag14(spark, d):
-    rows = _samples(spark, d)
-    return boards.trust(boards.deck_counts(rows), boards.concentration(boards.facets(rows), DECK), DECK)
+    rows = cut(_samples(spark, d).drop("cards", "souls"))
+    return boards.trust(boards.deck_counts(rows), boards.concentration(_players(rows), DECK), DECK)
 
 
 def _mix_sql(column: str) -> str:
