@@ -1,14 +1,20 @@
 """Work that must not grow with the rows around it: pages a few at a time, inputs evaluated once, pockets opened once."""
 
+import datetime
 import glob
 import json
+import os
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from duelstats.functions import loadout, markup, ranks
+from duelstats.llm import near_dedup, suffix_buckets
 from duelstats.plans.entity_state import EntityState
 from duelstats.schemas import SIGHTING
+from duelstats.session import cut, release, scratch_dir
 from duelstats.sources import packages, snapshots
 from tests.test_store import player, sighting
 
@@ -81,3 +87,63 @@ def test_a_first_step_takes_the_fresh_states_as_they_are(spark, tmp_path, monkey
     assert added == []
     state.advance(seen.where("seq >= 6"), [2])
     assert added == [1] and sorted(r.sightings for r in state.matches().collect()) == [2, 2, 2, 2]
+
+
+def contest_tables(spark, folder):
+    """Six matches between two players with one deck each, and one whose orders have no lines."""
+    keys, day = range(2, 16), datetime.date(2001, 7, 30)
+    rows = {
+        "nation": ([(1, "PERU")], "n_nationkey int, n_name string"),
+        "customer": ([(1, 1, -5.0, "A"), (2, 1, 9500.0, "B")], "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "supplier": ([(1, 1)], "s_suppkey bigint, s_nationkey int"),
+        "part": ([(1, "SMALL"), (2, "LARGE")], "p_partkey bigint, p_type string"),
+        "orders": ([(k, k % 2 + 1, "FO"[k % 2], 150000.0, day, "1-URGENT") for k in keys], "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate date, o_orderpriority string"),
+        "lineitem": ([(k, n, n, 1, 3.0, 0.05, 0.02) for k in keys if k < 14 for n in (1, 2)], "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_quantity double, l_discount double, l_tax double"),
+    }
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).coalesce(1).write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+BOARDS = {("all", 12), ("traveler_down", 6), ("knight_down", 6)}
+
+
+@pytest.mark.parametrize("name", ["job8_behaviour_profile", "ag16_archetype_scopes", "ag4_run_counters", "ag14_credibility", "ag10_player_concentration"])
+def test_contests_are_put_together_once(spark, tmp_path, name):
+    found = entry.queries()[name](spark, contest_tables(spark, tmp_path))
+    assert not any("lineitem" in f for f in found.inputFiles())
+    got = found.collect()
+    if name == "ag4_run_counters":
+        assert {r.metric: r.value for r in got}["raw_side_samples"] == "12" and len({r.metric for r in got}) == len(got)
+    elif name == "ag16_archetype_scopes":
+        assert sorted(r.sample_count for r in got) == [6, 6, 6, 6, 12, 12]
+    elif name == "ag10_player_concentration":
+        assert {(r.rank_scope, r.top3_count) for r in got} == BOARDS
+    else:
+        assert {(r.rank_scope, r.sample_count) for r in got} == BOARDS
+
+
+def shuffle_files(spark):
+    dirs = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()
+    return {f for d in dirs for f in glob.glob(f"{d.getPath()}/*/shuffle_*.data")}
+
+
+def test_written_tables_give_back_their_shuffles(spark):
+    before = shuffle_files(spark)
+    kept = cut(spark.range(1000).repartition(5).groupBy((F.col("id") % 7).alias("k")).count())
+    assert kept.count() == 7 and len(shuffle_files(spark) - before) <= 8  # those of the count alone
+    release(kept)
+    assert not any(os.path.exists(f.removeprefix("file:")) for f in kept.inputFiles())
+
+
+@pytest.mark.parametrize("job", [suffix_buckets.remove_repeats, near_dedup.near_groups])
+def test_tables_of_whole_texts_are_removed(spark, job):
+    text = lambda n: " ".join(f"w{n}x{i * i % 331}" for i in range(300))
+    docs = spark.createDataFrame([(n, text(n // 2) + f" end{n}") for n in range(12)], "doc_id bigint, text string")
+    top = scratch_dir(spark).removeprefix("file:")
+    old = set(os.listdir(top)) if os.path.isdir(top) else set()
+    found = job(docs)
+    left = [f for x in set(os.listdir(top)) - old for f in glob.glob(f"{top}/{x}/part-*")]
+    tables = {tuple(spark.read.parquet(os.path.dirname(f)).columns) for f in left}
+    assert found.count() == 12
+    assert not tables & {("_doc", "_id", "_text"), ("_bucket", "_doc", "_at"), ("_doc", "_at", "_part", "_core", "_hull"), ("_doc", "_id", "_words", "_bands", "_packed")}
