@@ -31,6 +31,8 @@ LENGTH = 200
 GRAM = 32
 PART = 24
 SLIDE = LENGTH - GRAM + 1  # q-grams in a window
+PLACES = np.uint64((1 << 24) - 1)  # bits of a hash that give way to a place
+BLOCK = 1 << 23  # windows whose q-grams are chosen at a time
 
 _bytes_as = np.random.default_rng(11).integers(1, 1 << 63, 256, np.int64).astype(np.uint64)
 
@@ -51,19 +53,18 @@ def chosen(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if len(data) < LENGTH:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     h = fingerprints(data)
-    at, best, width = np.arange(len(h)), h, 1
+    return h, np.concatenate([_least(h[start : start + BLOCK + SLIDE - 1]) + start for start in range(0, len(h) - SLIDE + 1, BLOCK)])
 
-    def step(by: int) -> None:
-        nonlocal at, best
-        first = best[:-by] <= best[by:]
-        at, best = np.where(first, at[:-by], at[by:]), np.where(first, best[:-by], best[by:])
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """Per row of ``SLIDE`` hashes the place of the least by its high bits, the first among equals; the low bits give way to the place."""
+    best, width = (h & ~PLACES) | np.arange(len(h), dtype=np.uint64), 1
     while 2 * width <= SLIDE:
-        step(width)
+        best = np.minimum(best[:-width], best[width:])
         width *= 2
     if SLIDE > width:
-        step(SLIDE - width)
-    return h, at
+        best = np.minimum(best[: width - SLIDE], best[SLIDE - width :])
+    return (best & PLACES).astype(np.int64)
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,29 +116,42 @@ def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(cores, pa.int64()), pa.array(hulls, pa.binary())], names=["_doc", "_at", "_part", "_core", "_hull"])
 
 
+def _fields(rows: pa.ListArray, *names: str) -> tuple[np.ndarray, ...]:
+    """Where each row's structs begin (and the last one's end), and their fields one after the other."""
+    flat = rows.flatten()
+    return np.r_[0, np.cumsum(rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))], *(flat.field(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in names)
+
+
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n_parts, digest = -(-SLIDE // PART), xxhash.xxh3_128_digest
     for batch in batches:
         for start in range(0, batch.num_rows, 64):
-            rows: tuple[list, ...] = ([], [], [], [])
-            for doc, text, active, asked in zip(*(c.slice(start, 64).to_pylist() for c in batch.columns)):
-                raw = text.encode()
+            some = batch.slice(start, 64)
+            edges, places, parts, counts = _fields(some.column(3), "_at", "_part", "_count")
+            rows: tuple[list, ...] = ([np.empty(0, np.int64)], [np.empty(0, np.int64)], [], [np.empty(0, np.int64)])
+            for k, (doc, text, active) in enumerate(zip(*(c.to_pylist() for c in some.columns[:3]))):
+                raw, own = text.encode(), slice(edges[k], edges[k + 1])
                 starts, at = _open_windows(np.frombuffer(raw, np.uint8), np.unique(np.array(active, np.int64)))
-                wanted = {(x["_at"], x["_part"]): x["_count"] for x in asked}
-                for begin, place, part in zip(starts.tolist(), at.tolist(), ((at - starts) // PART).tolist()):
-                    if (count := wanted.get((place, part))) is not None:
-                        for out, value in zip(rows, (doc, begin, xxhash.xxh3_128_digest(raw[begin : begin + LENGTH]), count)):
-                            out.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, (pa.int64(), pa.int32(), pa.binary(), pa.int64()))], names=["_doc", "_from", "_key", "_count"])
+                wanted, first = np.unique(places[own] * n_parts + parts[own], return_index=True)
+                keys = at * n_parts + (at - starts) // PART
+                found = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
+                hit = wanted[found] == keys
+                begins = starts[hit]
+                rows[0].append(np.full(len(begins), doc, np.int64))
+                rows[1].append(begins)
+                rows[2].extend([digest(raw[x : x + LENGTH]) for x in begins.tolist()])
+                rows[3].append(counts[own][first][found[hit]])
+            arrays = [pa.array(np.concatenate(rows[0])), pa.array(np.concatenate(rows[1]).astype(np.int32)), pa.array(rows[2], pa.binary()), pa.array(np.concatenate(rows[3]))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["_doc", "_from", "_key", "_count"])
 
 
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         docs, gone, runs, shas, texts = [], [], [], [], []
-        for doc, text, spans in zip(*(c.to_pylist() for c in batch.columns)):
-            raw = text.encode()
-            edge = np.zeros(len(raw) + 1, np.int64)
-            np.add.at(edge, [s["_from"] for s in spans], 1)
-            np.add.at(edge, [s["_to"] for s in spans], -1)
+        edges, begins, ends = _fields(batch.column(2), "_from", "_to")
+        for k, (doc, text) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:2]))):
+            raw, own = text.encode(), slice(edges[k], edges[k + 1])
+            edge = np.bincount(begins[own], minlength=len(raw) + 1) - np.bincount(ends[own], minlength=len(raw) + 1)
             covered = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(raw, np.uint8)[~covered].tobytes()
             docs.append(doc)
