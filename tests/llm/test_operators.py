@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -94,6 +95,53 @@ def test_near_verdict_ignores_collisions(spark):
     assert len(got) == 100 and got[1] == got[2] == 1
 
 
+def test_near_groups_compare_few_pairs(spark, monkeypatch):
+    """Copies of one text with up to five words replaced: most pairs are no links, and all share buckets."""
+    rng, base, texts = random.Random(8), [f"b{i}" for i in range(150)], []
+    for k in range(240):
+        said = list(base)
+        for j in range(k % 6):
+            said[rng.randrange(150)] = f"e{k}x{j}"
+        texts.append(said)
+    found = [{tuple(t[i : i + 5]) for i in range(146)} for t in texts]
+    df = Counter(g for f in found for g in f)
+    weigh = lambda some: sum(near_dedup.rareness(np.array([df[g] for g in some] or [len(texts)]), len(texts))) if some else 0
+    group = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if weigh(found[a] & found[b]) >= 0.8 * weigh(found[a] | found[b]):
+            group = [group[a] if g == group[b] else g for g in group]
+    pairs, cut = [], near_dedup.cut
+
+    def counted(df):
+        kept = cut(df)
+        if {"_a", "_b", "_far"} <= set(kept.columns) and "_bucket" not in kept.columns:
+            pairs.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(near_dedup, "cut", counted)
+    got = near_dedup.near_groups(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id int, text string").repartition(4)).collect()
+    assert Counter(r._size for r in got) == Counter(n for n in Counter(group).values() for _ in range(n))
+    assert 0 < sum(pairs) < 4 * len(texts)
+
+
+def test_words_and_windows_by_plain_means():
+    texts = ["", "one Two_three\x1c4 b\x00c\x7fd", "ÄB_ç٣½ 日本🙂x\u2028y\x85z \ufb01", "".join(map(chr, range(0x3000)))]
+    for text in texts:
+        assert near_dedup.words_of(text) == re.findall(r"[^\W_]+", text.lower())
+    data = np.random.default_rng(3).integers(97, 99, 2000).astype(np.uint8)
+    data[700:1100] = 97
+    h, at = suffix_buckets.chosen(data)
+    high = (h >> np.uint64(24)).tolist()
+    assert at.tolist() == [min(range(i, i + suffix_buckets.SLIDE), key=lambda k: (high[k], k)) for i in range(len(data) - suffix_buckets.LENGTH + 1)]
+
+
+def test_windows_of_long_texts(monkeypatch):
+    data = np.random.default_rng(3).integers(97, 99, 3000).astype(np.uint8)
+    whole = suffix_buckets.chosen(data)[1]
+    monkeypatch.setattr(suffix_buckets, "BLOCK", 100)
+    assert (suffix_buckets.chosen(data)[1] == whole).all()
+
+
 def test_exact_frequencies(spark, docs):
     known = Hashes()
     rows = [(i, zstandard.compress(" ".join(near_dedup.words_of(r.text)).encode())) for i, r in enumerate(docs.collect()) if near_dedup.words_of(r.text)]
