@@ -135,6 +135,23 @@ def test_words_and_windows_by_plain_means():
     assert at.tolist() == [min(range(i, i + suffix_buckets.SLIDE), key=lambda k: (high[k], k)) for i in range(len(data) - suffix_buckets.LENGTH + 1)]
 
 
+def test_words_of_many_texts_are_hashed_together():
+    rng = np.random.default_rng(2)
+    words = ["a", "b", "ab", "ba", "aab", "aba", "baa", "é", "éa", "0"]
+    texts = [" ".join(rng.choice(words, n)).encode() for n in [*range(12), 3000, 9000, 0, 4, 5]]
+    every = near_dedup.word_hashes(" ".join(words).encode())
+    assert len(set(every.tolist())) == len(words)
+    assert near_dedup.word_hashes(b"ba \xc3\xa9 ba a").tolist() == [every[3], every[7], every[3], every[0]]
+    got = list(near_dedup.shingled(iter(texts)))
+    assert [text for text, _ in got] == texts
+    for text, mixes in got:
+        found, counts = near_dedup.shingles(text.decode().split())
+        assert np.array_equal(np.unique(mixes), found) and counts.sum() == len(mixes)
+        own = text.decode().split()
+        grams = Counter(tuple(own[i : i + near_dedup.SHINGLE]) for i in range(max(len(own) - near_dedup.SHINGLE, 0) + 1)) if own else {}
+        assert sorted(counts.tolist()) == sorted(grams.values())
+
+
 def test_windows_of_long_texts(monkeypatch):
     data = np.random.default_rng(3).integers(97, 99, 3000).astype(np.uint8)
     whole = suffix_buckets.chosen(data)[1]
