@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from duelstats.plans.store import Store
+from duelstats.session import release
 from duelstats.sources.packages import PATTERN, numbered, placed_lines
 
 
@@ -38,7 +39,9 @@ def ingest(
     def take(batch: DataFrame, batch_id: int) -> None:
         store = Store(spark, store_root)
         before = store.state.heads().generation
-        store.add(numbered(batch), batch_id)
+        lines = numbered(batch)
+        store.add(lines, batch_id)
+        release(lines)
         after = store.state.heads().generation
         if refresh is not None and after > before:
             refresh(store, after)

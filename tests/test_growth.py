@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from duelstats.functions import loadout, markup, ranks
 from duelstats.llm import near_dedup, suffix_buckets
+from duelstats.params import JobConfig
+from duelstats.plans import store as jobs
 from duelstats.plans.entity_state import EntityState
 from duelstats.schemas import SIGHTING
-from duelstats.session import cut, release, scratch_dir
+from duelstats.session import cut, empty, release, scratch_dir
 from duelstats.sources import packages, snapshots
-from tests.test_store import player, sighting
+from tests.test_store import match_rows, player, sighting
 
 
 def plan(df):
@@ -54,6 +56,37 @@ def test_exported_lines_are_made_once(spark, tmp_path, monkeypatch):
     assert packages.read_lines(spark, str(tmp_path / "out")).count() == 4
 
 
+def tables_left(spark, old=frozenset()):
+    top = scratch_dir(spark).removeprefix("file:")
+    return {x for x in os.listdir(top) if x not in old and glob.glob(f"{top}/{x}/part-*")} if os.path.isdir(top) else set()
+
+
+def test_an_export_and_its_import_leave_no_table_of_lines(spark, tmp_path):
+    old = tables_left(spark)
+    cfg = JobConfig(version="V1", date_from="2026-05-01", date_to="2026-05-31")
+    manifests = jobs.export_contributions(match_rows(spark), cfg, F.lit("ann"), str(tmp_path / "out"), "2026-06-01T00:00:00")
+    top = scratch_dir(spark).removeprefix("file:")
+    columns = lambda: [spark.read.parquet(f"{top}/{x}").columns for x in tables_left(spark, old)]
+    assert columns() and not any({"line", "value"} & set(c) for c in columns()) and manifests.count() == 1
+    lines = packages.read_lines(spark, str(tmp_path / "out"))
+    # a line that is canonical as it stands is written once, and comes with its canonical text all the same
+    kept = [spark.read.parquet(f"{top}/{x}") for x in tables_left(spark, old)]
+    (text,) = [t for t in kept if "canonical" in t.columns]
+    assert text.where("canonical IS NOT NULL").isEmpty() and lines.where("canonical = value").count() == lines.count() > 1
+    store = jobs.Store(spark, str(tmp_path / "store"))
+    store.add(lines, 1)
+    release(lines)
+    lines_told = manifests.first()["match_count"]
+    wide = {"value", "winners", "players", "replay_id", "sides", "deck_fingerprint"}
+    assert not any(wide & set(c) for c in columns()) and store.matches().count() == lines_told
+
+
+def test_a_table_without_rows_starts_no_python(spark):
+    none = empty(spark, "a bigint, s struct<b:string>, v variant, bucket int")
+    assert none.dtypes == [("a", "bigint"), ("s", "struct<b:string>"), ("v", "variant"), ("bucket", "int")] and none.count() == 0
+    assert "PythonRDD" not in none._jdf.queryExecution().toRdd().toDebugString()
+
+
 def test_a_pocket_is_opened_once_for_all_fragments(spark):
     profiles = [{"段位": "騎士2"}, {"league": "旅人"}, {"証": "12"}, {"证": "１００"}, {"rank": "?"}, {}]
     df = spark.createDataFrame([(json.dumps(p),) for p in profiles], "p string").select(F.parse_json("p").alias("v"))
