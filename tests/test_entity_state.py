@@ -132,3 +132,35 @@ def test_stream_rewrites_only_touched_versions(spark, tmp_path):
     jobs.export_contributions(moved, JobConfig(version="V3", date_from="2026-05-01", date_to="2026-05-31"), F.lit("ann"), f"{drop}/V3", "2026-06-01T00:00:00")
     ingest(spark, drop, root, str(tmp_path / "cp"), refresh).awaitTermination()
     assert {r.version for r in published.read().collect()} == {"V1", "V3"} and dict(published.heads().collect())["V2"] == 3
+
+
+def test_a_step_opens_only_the_matches_that_it_changes(spark, tmp_path, monkeypatch):
+    from duelstats.plans import entity_state
+
+    opened, typed = [], merge.typed_sides
+
+    def counted(rows):
+        opened.append(rows.count())
+        return typed(rows)
+
+    monkeypatch.setattr(entity_state.merge, "typed_sides", counted)
+    people = lambda n: [player(1, f"P{n}", ["a"]), player(2, "Q", ["b"])]
+    rows = lambda some, **more: spark.createDataFrame([sighting(n, **{"replay_id": f"r{n % 1000}", "version": "V1", "played_at": "2026-05-01 10:00", "mode": "m", "result": "win", "players": people(n)} | more) for n in some], SIGHTING)
+    state = EntityState(spark, str(tmp_path / "s"), buckets=2)
+    state.advance(rows(range(40)), [0])
+    state.advance(rows(range(40, 50)), [1])
+    assert opened == [40, 10]
+    # one match is told anew: its old facts go
+    state.advance(rows([1003], version="V2"), [2])
+    assert sum(opened[2:]) == 2
+    daily = state.read("daily")
+    whole = facts.daily(typed(merge.finished(state.read("states"))), "bucket")
+    assert told(daily) == told(whole) and daily.where("version = 'V2' AND name = 'P1003'").count() == 1 and daily.where("name = 'P3'").count() == 0
+
+
+def test_facts_that_were_not_told_are_made_of_all_matches(spark, tmp_path):
+    rows = spark.createDataFrame(random_sightings(3), SIGHTING).cache()
+    state = EntityState(spark, str(tmp_path / "s"), buckets=3)
+    for batch in range(3):
+        state.advance(rows.where(F.col("seq") % 3 == batch), [batch], daily=batch > 0)
+    assert told(state.read("daily")) == told(facts.daily(merge.typed_sides(merge.finished(state.read("states"))), "bucket"))
